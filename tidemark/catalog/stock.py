@@ -228,7 +228,7 @@ def orphan_check(t):
     VIEWS,
 )
 def request_kpis(t):
-    return S.request_kpis(joined(t))
+    return S.request_kpis(S.approval_counts(requests(t), approvals(t)))
 
 
 @query(
@@ -269,7 +269,7 @@ def top_departments(t):
     VIEWS,
 )
 def request_status(t):
-    return S.request_status(joined(t))
+    return S.request_status(S.approval_counts(requests(t), approvals(t)))
 
 
 @query(

@@ -202,13 +202,35 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.filter(F.col(key).isNotNull()).join(parent.select(key), key, "left_anti")
 
 
-def request_kpis(joined: DataFrame) -> DataFrame:
+def approval_counts(requests: DataFrame, approvals: DataFrame) -> DataFrame:
+    """How many rows ``with_approvals`` has per (is_approved, is_requester_received).
+
+    Counts per key meet counts per key, so the rows of a hot key are never paired.
+    """
+    keys = ["id", "tool_id"]
+    asked = requests.groupBy(_key("id"), _key("tool_id")).agg(F.count(F.lit(1)).alias("_m"))
+    decided = approvals.groupBy(
+        _key("id"), _key("tool_id"), "is_approved", "is_requester_received"
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    return (
+        asked.join(decided, keys, "left")
+        .groupBy("is_approved", "is_requester_received")
+        .agg(F.sum(F.col("_m") * F.coalesce("_n", F.lit(1))).alias("n"))
+    )
+
+
+def request_kpis(counts: DataFrame) -> DataFrame:
+    """Total, pending, approved and fulfilled requests from ``approval_counts``."""
     approved = F.col("is_approved")
-    return joined.agg(
-        F.count(F.lit(1)).alias("total_requests"),
-        F.count_if(approved.isNull() | (approved == 0)).alias("pending_requests"),
-        F.count_if(approved == 1).alias("approved_requests"),
-        F.count_if(F.col("is_requester_received") == 1).alias("fulfilled_requests"),
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    return counts.agg(
+        total(F.lit(True)).alias("total_requests"),
+        total(approved.isNull() | (approved == 0)).alias("pending_requests"),
+        total(approved == 1).alias("approved_requests"),
+        total(F.col("is_requester_received") == 1).alias("fulfilled_requests"),
     )
 
 
@@ -243,11 +265,11 @@ def top_departments(items: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def request_status(joined: DataFrame) -> DataFrame:
-    """Requests per status; not decided and not approved are both pending."""
+def request_status(counts: DataFrame) -> DataFrame:
+    """Requests per status from ``approval_counts``; undecided and refused are pending."""
     approved = F.col("is_approved")
     status = F.when(approved.isNull() | (approved == 0), "Pending").when(approved == 1, "Approved")
-    return joined.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(status.alias("status")).agg(F.sum("n").alias("n"))
 
 
 def daily_requests(requests: DataFrame) -> DataFrame:
