@@ -88,14 +88,13 @@ def write_formats(t):
     return _formats(t, t.part, "write_formats", PART)
 
 
-def land_envelopes(df, path, key, per_file=2000, bare=False):
-    """Write ``{"data": [...]}`` documents of about ``per_file`` items each, one per line."""
+def land_envelopes(df, path, key, per_file=10_000, bare=False):
+    """Write ``{"data": [...]}`` documents of at most ``per_file`` items, one per file."""
     page = F.floor(F.col(key) / per_file)
     item = F.struct(*df.columns)
     docs = df.groupBy(page.alias("_page")).agg(F.collect_list(item).alias("data"))
     body = F.to_json("data") if bare else F.to_json(F.struct("data"))
-    # one document per file: a page is a folder
-    docs.select("_page", body.alias("value")).write.partitionBy("_page").text(path)
+    docs.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -110,7 +109,7 @@ def json_envelope_scan(t):
     o = t.orders.select(*_ORDER)
     land_envelopes(o.filter("o_custkey % 2 = 0"), f"{folder}/a", "o_orderkey")
     land_envelopes(o.filter("o_custkey % 2 = 1"), f"{folder}/b", "o_orderkey", bare=True)
-    return J.scan_envelopes(t.spark, f"{folder}/*/*/*.txt", ORDER_ITEM)
+    return J.scan_envelopes(t.spark, f"{folder}/*/*.txt", ORDER_ITEM)
 
 
 @query(
@@ -125,7 +124,7 @@ def endpoint_union(t):
     land_envelopes(
         t.customer.select("c_custkey", "c_name", "c_acctbal").toDF(*names), f"{folder}/customers", "id"
     )
-    paths = {n: f"{folder}/{n}/*/*.txt" for n in ("parts", "customers")}
+    paths = {n: f"{folder}/{n}/*.txt" for n in ("parts", "customers")}
     return J.scan_endpoints(t.spark, paths, "id: BIGINT, name: STRING, price: DOUBLE")
 
 
@@ -162,7 +161,7 @@ EVENT = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, v
 def land_events(t, name):
     """Events as JSON lines in a new folder."""
     path = scratch(t.spark, name)
-    t.events.write.json(path)
+    M.write_table(t.events, path, "json")
     return path
 
 

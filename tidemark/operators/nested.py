@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.jsons import EXACT
+
 # The fields of each nested object of an item.
 STORE = [
     "id", "store_name", "location", "project_id", "store_keeper_id", "description",
@@ -227,7 +229,7 @@ def json_normalize(df: DataFrame) -> DataFrame:
             if isinstance(f.dataType, T.StructType):
                 yield from walk(f.dataType, here + ".", label + ".")
             elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
-                yield F.to_json(F.col(here), {"ignoreNullFields": "false"}).alias(label)
+                yield F.to_json(F.col(here), EXACT).alias(label)
             else:
                 yield F.col(here).alias(label)
 

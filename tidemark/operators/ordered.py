@@ -27,9 +27,11 @@ def with_slice(df: DataFrame, value: str, group: str, slices: int = SLICES) -> D
         F.array_sort(F.collect_list(value)).alias("_e")
     )
     edge_map = edges.agg(F.map_from_entries(F.collect_list(F.struct(group, "_e")))).scalar()
-    edge_list = F.element_at(edge_map, F.col(group))
-    return df.withColumn(
-        "slice", F.size(F.filter(edge_list, lambda e: e < F.col(value)))
+    # a column of its own: a subquery may not stand inside the lambda
+    return (
+        df.withColumn("_edges", F.element_at(edge_map, F.col(group)))
+        .withColumn("slice", F.size(F.filter("_edges", lambda e: e < F.col(value))))
+        .drop("_edges")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.jsons import EXACT
 from tidemark.operators.ordered import quantiles
 
 
@@ -51,7 +52,7 @@ def row_digest(df: DataFrame) -> Column:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = c + F.lit(0.0)  # -0.0 equals 0.0
         cells.append(c.alias(f.name))
-    return F.sha2(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}), 256)
+    return F.sha2(F.to_json(F.struct(*cells), EXACT), 256)
 
 
 def quality_report(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.jsons import EXACT
 from tidemark.functions.times import iso_text
 
 
@@ -28,7 +29,7 @@ def to_messages(df: DataFrame, key: str | None = None, **stamps: Column) -> Data
     key_column = F.col(key).cast("string") if key else F.lit(None).cast("string")
     return plain.select(
         key_column.alias("key"),
-        F.to_json(F.struct(*plain.columns), {"ignoreNullFields": "false"}).alias("value"),
+        F.to_json(F.struct(*plain.columns), EXACT).alias("value"),
     )
 
 
@@ -55,7 +56,7 @@ def write_table(df: DataFrame, path: str, format: str = "auto") -> None:
     if kind == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     elif kind == "json":
-        writer.option("ignoreNullFields", False).json(path)
+        writer.options(**EXACT).json(path)
     elif kind == "parquet":
         writer.parquet(path)
     else:

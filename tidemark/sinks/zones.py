@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.jsons import EXACT
 from tidemark.functions.text import base_name
 from tidemark.operators.rules import payload_columns
 
@@ -18,8 +19,6 @@ PROCESSED = {
     "processed_at": "string",
 }
 
-KEEP_NULLS = {"ignoreNullFields": "false"}
-
 
 def file_id(path: Column, sha256: Column) -> Column:
     """Stable id of a file version: the same for every run."""
@@ -43,7 +42,7 @@ def file_rows(rows: DataFrame) -> DataFrame:
 
 def payload_json(df: DataFrame, columns: list[str] | None = None) -> Column:
     """JSON text of the data columns, nulls kept."""
-    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns or payload_columns(df)]), KEEP_NULLS)
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns or payload_columns(df)]), EXACT)
 
 
 def raw_records(df: DataFrame, file: Column, row_num: Column, loaded_at: Column) -> DataFrame:
@@ -91,7 +90,7 @@ def curated_records(docs: DataFrame, created_at: Column, extra: list[str] = ())
     return docs.select(
         F.concat(meta("source_file", "unknown"), F.lit("#"), meta("row_num", "0")).alias("source"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.to_json(body).alias("meta"),
+        F.to_json(body, {**EXACT, "ignoreNullFields": "true"}).alias("meta"),
         F.lit(None).cast("binary").alias("embedding"),
         created_at.alias("created_at"),
     )
