@@ -221,7 +221,7 @@ FROM (SELECT doc_id, ks, list_transform(ks, lambda k: array_to_string(w[k+1:k+51
       FROM (SELECT doc_id, w, range(0, len(w), 448) AS ks FROM w))""",
 )
 def chunk_words(t):
-    return _indexed(D.chunk_rows(t.documents, D.word_chunks(F.col("text")), ["doc_id"]))
+    return _indexed(D.word_chunks(t.documents, ["doc_id"]))
 
 
 def _indexed(df):
@@ -248,7 +248,7 @@ g AS (SELECT doc_id, CASE WHEN len(st.open) > 0 THEN list_append(st.done, array_
     f"WITH {SENTENCES} SELECT doc_id, unnest(range(len(cs))) AS chunk_index, unnest(cs) AS chunk FROM g",
 )
 def chunk_sentences(t):
-    return _indexed(D.chunk_rows(t.documents, D.sentence_chunks(F.col("text")), ["doc_id"]))
+    return _indexed(D.sentence_chunks(t.documents, ["doc_id"]))
 
 
 @query(

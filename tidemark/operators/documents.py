@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.numbers import double_text
-from tidemark.functions.text import WHITE_SPACE_RUN, strip, words
+from tidemark.functions.text import strip, words
 from tidemark.operators.rules import payload_columns
 
 # Label of each text part, in the order of the text.
@@ -72,21 +72,40 @@ def generic_documents(rows: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def word_chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:
+def _windows(word_list: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` words, ``size - overlap`` apart; no words, no windows."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than the window")
-    w = words(text)
+    count = F.size(word_list)
     starts = F.when(
-        F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))
+        count > 0, F.sequence(F.lit(0), count - 1, F.lit(size - overlap))
     ).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
+    return F.transform(starts, lambda i: F.array_join(F.slice(word_list, i + 1, F.lit(size)), " "))
+
+
+def word_chunks(
+    docs: DataFrame, keys: list[str], text: str = "text", size: int = 512, overlap: int = 64
+) -> DataFrame:
+    """One row per word window: keys, 0-based ``chunk_index``, ``chunk``.
+
+    The words are a column of their own, so a text is split once and not per window.
+    """
+    split = docs.select(*keys, words(F.col(text)).alias("_words"))
+    return _chunk_rows(split, keys, _windows(F.col("_words"), size, overlap))
+
+
+def _chunk_rows(docs: DataFrame, keys: list[str], chunks: Column) -> DataFrame:
+    # the inner explode would add a filter that computes the chunks a second time
+    rows = docs.select(*keys, F.posexplode_outer(chunks).alias("chunk_index", "chunk"))
+    return rows.filter(F.col("chunk").isNotNull())
 
 
 _NO_TEXTS = "array<string>"
 
 
-def sentence_chunks(text: Column, tokens: int = 512, overlap: int = 64) -> Column:
+def sentence_chunks(
+    docs: DataFrame, keys: list[str], text: str = "text", tokens: int = 512, overlap: int = 64
+) -> DataFrame:
     """Sentences gathered up to a word budget; each chunk starts with the tail of the last.
 
     One fold over the sentences of a document. The budget is three quarters of
@@ -94,63 +113,44 @@ def sentence_chunks(text: Column, tokens: int = 512, overlap: int = 64) -> Colum
     an entry is a sentence, or a word carried over from the chunk before.
     """
     budget, keep = int(tokens * 0.75), int(overlap * 0.75)
-    sentences = F.filter(
-        F.transform(F.split(text, "[.!?]+"), lambda s: strip(s)), lambda s: s != ""
-    )
-    # (sentence, word count), counted once before the fold
-    counted = F.transform(
-        sentences, lambda s: F.struct(s.alias("s"), F.size(F.split(s, WHITE_SPACE_RUN)).alias("k"))
-    )
-    start = F.struct(
-        F.array().cast(_NO_TEXTS).alias("done"),
-        F.array().cast(_NO_TEXTS).alias("open"),
-        F.lit(0).alias("n"),
+    parts = F.transform(F.split(text, "[.!?]+"), lambda s: strip(s))
+    sentences = F.transform(
+        F.filter(parts, lambda s: s != ""),
+        lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("k")),
     )
+    none = F.array().cast(_NO_TEXTS)
+    start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("n"))
 
     def step(state: Column, s: Column) -> Column:
-        full = (state["n"] + s["k"] > budget) & (F.size(state["open"]) > 0)
-        tail = F.when(
-            F.size(state["open"]) > keep,
-            F.slice(state["open"], F.size(state["open"]) - keep + 1, F.lit(keep))
-            if keep
-            else F.array().cast(_NO_TEXTS),
-        ).otherwise(state["open"])
+        is_open = F.size(state["open"]) > 0
+        full = (state["n"] + s["k"] > budget) & is_open
+        tail = state["open"]
+        if keep:  # without an overlap the whole chunk is carried, as a slice from -0 takes all
+            tail = F.when(F.size(tail) > keep, F.slice(tail, -keep, F.lit(keep))).otherwise(tail)
         # the carried text is cut into words again
-        carried = F.split(F.array_join(tail, " "), WHITE_SPACE_RUN)
-        carried = F.when(F.size(tail) > 0, carried).otherwise(F.array().cast(_NO_TEXTS))
-        return F.when(
-            full,
-            F.struct(
-                F.array_append(state["done"], F.array_join(state["open"], " ")).alias("done"),
-                F.array_append(carried, s["s"]).alias("open"),
-                (F.size(carried) + s["k"]).alias("n"),
-            ),
-        ).otherwise(
-            F.struct(
-                state["done"].alias("done"),
-                F.array_append(state["open"], s["s"]).alias("open"),
-                (state["n"] + s["k"]).alias("n"),
-            )
+        carried = words(F.array_join(tail, " "))
+        closed = F.struct(
+            F.array_append(state["done"], F.array_join(state["open"], " ")).alias("done"),
+            F.array_append(carried, s["s"]).alias("open"),
+            (F.size(carried) + s["k"]).alias("n"),
         )
+        grown = F.struct(
+            state["done"].alias("done"),
+            F.array_append(state["open"], s["s"]).alias("open"),
+            (state["n"] + s["k"]).alias("n"),
+        )
+        return F.when(full, closed).otherwise(grown)
 
     def finish(state: Column) -> Column:
-        return F.when(
-            F.size(state["open"]) > 0,
-            F.array_append(state["done"], F.array_join(state["open"], " ")),
-        ).otherwise(state["done"])
+        last = F.array_append(state["done"], F.array_join(state["open"], " "))
+        return F.when(F.size(state["open"]) > 0, last).otherwise(state["done"])
 
-    chunks = F.aggregate(counted, start, step, finish)
+    cut = docs.select(*keys, sentences.alias("_s"), F.col(text).alias("_t"))
     # without any sentence (only terminators) the words themselves are windowed
-    return (
-        F.when(strip(text) == "", F.array().cast(_NO_TEXTS))
-        .when(F.size(sentences) > 0, chunks)
-        .otherwise(word_chunks(text, budget, keep))
+    chunks = F.when(F.size("_s") > 0, F.aggregate("_s", start, step, finish)).when(
+        strip(F.col("_t")) != "", _windows(words(F.col("_t")), budget, keep)
     )
-
-
-def chunk_rows(docs: DataFrame, chunks: Column, keys: list[str]) -> DataFrame:
-    """One row per chunk with its 0-based index."""
-    return docs.select(*keys, F.posexplode(chunks).alias("chunk_index", "chunk"))
+    return _chunk_rows(cut, keys, chunks)
 
 
 def curated_chunks(
@@ -160,15 +160,15 @@ def curated_chunks(
 
     Adds ``chunk_index``, ``total_chunks`` (null for whole documents) and ``is_chunked``.
     """
-    body = F.col(text)
-    long = F.size(words(body)) > limit
-    parts = F.when(long, word_chunks(body, size, overlap)).otherwise(F.array(body))
     rest = [c for c in docs.columns if c != text]
-    out = docs.select(*rest, long.alias("is_chunked"), parts.alias("_parts")).select(
+    split = docs.select(*rest, text, words(F.col(text)).alias("_words"))
+    long = F.size("_words") > limit
+    parts = F.when(long, _windows(F.col("_words"), size, overlap)).otherwise(F.array(text))
+    out = split.select(*rest, long.alias("is_chunked"), parts.alias("_parts")).select(
         *rest,
         "is_chunked",
         F.size("_parts").alias("_total"),
-        F.posexplode("_parts").alias("_index", text),
+        F.posexplode_outer("_parts").alias("_index", text),
     )
     return out.select(
         *rest,

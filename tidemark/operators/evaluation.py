@@ -69,7 +69,7 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     counts = scored.groupBy("score").agg(
         F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") != 1).alias("neg")
     ).withColumn("all", F.lit("all"))
-    placed = running_total(counts, "score", F.col("neg"), "all")
+    placed = running_total(counts, "score", "neg", "all")
     below = F.col("running") - F.col("neg")
     wins = F.sum(F.col("pos") * (below + F.col("neg") / 2.0))
     return placed.agg(_ratio(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))

@@ -51,9 +51,9 @@ def impute(df: DataFrame, numbers: list[str] | None = None, texts: list[str] | N
 
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, code): 0-based code of each distinct text in sorted order."""
-    values = value_frequencies(df, columns).select("column", "value")
-    ranked = running_total(values, "value", F.lit(1), "column", "code")
-    return ranked.withColumn("code", (F.col("code") - 1).cast("bigint"))
+    values = value_frequencies(df, columns).select("column", "value", F.lit(1).alias("one"))
+    ranked = running_total(values, "value", "one", "column", "code")
+    return ranked.select("column", "value", (F.col("code") - 1).cast("bigint").alias("code"))
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, columns: list[str], null_code: int | None = None) -> DataFrame:

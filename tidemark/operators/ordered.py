@@ -1,89 +1,81 @@
 """Exact global order statistics without a window over one task.
 
-A running total over a whole table needs a global order. Here the ordered
-values are cut into slices by splitters taken from a hash sample of the
-distinct values; totals per slice (at most ``SLICES`` rows per group) give each
-slice its starting offset, and the window runs inside a slice only. The result
-does not depend on the splitters, only the balance does.
+A running total over a whole table needs a global order. The distinct values
+are range-partitioned; the partition number becomes a column (``slice``) of a
+table that is written once to the shared folder, because a second evaluation
+could draw other range borders. Totals per slice give each slice its starting
+offset, and windows run inside a slice only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 256
+from tidemark.session import saved
 
 
-def with_slice(df: DataFrame, value: str, group: str, slices: int = SLICES) -> DataFrame:
-    """Add ``slice``: how many splitters of the group lie below the value.
+def in_slices(df: DataFrame, value: str, group: str) -> DataFrame:
+    """``df`` (each (group, value) once) with ``slice``, ascending with the value per group."""
+    ranged = df.repartitionByRange(group, value).withColumn("slice", F.spark_partition_id())
+    return saved(ranged, "slices")
 
-    ``df`` holds each (group, value) once and ``group`` has few values (the
-    columns of a table). The per-group limit is applied before the shuffle.
-    """
-    by_hash = Window.partitionBy(group).orderBy(F.xxhash64(value), value)
-    picked = df.select(group, value).withColumn("_n", F.row_number().over(by_hash))
-    edges = picked.filter(F.col("_n") < slices).groupBy(group).agg(
-        F.array_sort(F.collect_list(value)).alias("_e")
+
+def slice_offsets(sliced: DataFrame, weight: str, group: str) -> DataFrame:
+    """(group, slice, before, total): weight before the slice, and in the whole group."""
+    order = Window.partitionBy(group).orderBy("slice")  # as long as there are partitions
+    every = Window.partitionBy(group)
+    sums = sliced.groupBy(group, "slice").agg(F.sum(weight).alias("_t"))
+    return sums.select(
+        group,
+        "slice",
+        F.coalesce(
+            F.sum("_t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("before"),
+        F.col("_t").alias("inside"),
+        F.sum("_t").over(every).alias("total"),
     )
-    edge_map = edges.agg(F.map_from_entries(F.collect_list(F.struct(group, "_e")))).scalar()
-    # a column of its own: a subquery may not stand inside the lambda
-    return (
-        df.withColumn("_edges", F.element_at(edge_map, F.col(group)))
-        .withColumn("slice", F.size(F.filter("_edges", lambda e: e < F.col(value))))
-        .drop("_edges")
+
+
+def _running(sliced: DataFrame, offsets: DataFrame, value: str, weight: str, group: str, name: str) -> DataFrame:
+    inside = Window.partitionBy(group, "slice").orderBy(value)
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sliced.join(offsets, [group, "slice"]).withColumn(
+        name, F.col("before") + F.sum(weight).over(inside)
     )
 
 
-def running_total(
-    df: DataFrame, value: str, weight: Column, group: str, name: str = "running"
-) -> DataFrame:
+def running_total(df: DataFrame, value: str, weight: str, group: str, name: str = "running") -> DataFrame:
     """Add the running total of ``weight`` up to and with each value, per group.
 
     ``df`` holds each (group, value) once.
     """
-    sliced = with_slice(df.withColumn("_w", weight), value, group)
-    totals = sliced.groupBy(group, "slice").agg(F.sum("_w").alias("_t"))
-    # at most SLICES rows per group
-    before = Window.partitionBy(group).orderBy("slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = totals.select(
-        F.struct(group, "slice").alias("k"),
-        F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("o"),
-    ).agg(F.map_from_entries(F.collect_list(F.struct("k", "o")))).scalar()
-    inside = Window.partitionBy(group, "slice").orderBy(value)
-    return sliced.withColumn(
-        name,
-        F.element_at(offsets, F.struct(group, "slice"))
-        + F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    ).drop("_w", "slice")
+    sliced = in_slices(df, value, group)
+    offsets = slice_offsets(sliced, weight, group).select(group, "slice", "before")
+    return _running(sliced, offsets, value, weight, group, name).drop("before", "slice")
 
 
-def quantiles(counted: DataFrame, value: str, count: str, group: str, shares: list[float]) -> DataFrame:
+def quantiles(sliced: DataFrame, value: str, count: str, group: str, shares: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    ``counted`` holds (group, value, count). Columns ``q0, q1, ...`` follow ``shares``.
+    ``sliced`` is (group, value, count) from ``in_slices``. Only the slices that
+    hold a wanted rank are ordered. Columns ``q0, q1, ...`` follow ``shares``.
     """
-    run = running_total(counted, value, F.col(count), group, "_run")
-    total = run.groupBy(group).agg(
-        F.sum(count).alias("_n"),
-    )
-    sizes = total.agg(F.map_from_entries(F.collect_list(F.struct(group, "_n")))).scalar()
-    placed = run.withColumn("_n", F.element_at(sizes, F.col(group)))
-    picks = []
-    for i, share in enumerate(shares):
-        rank = F.lit(float(share)) * (F.col("_n") - 1)
-        for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            hit = (F.col("_run") > at) & (F.col("_run") - F.col(count) <= at)
-            picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}{i}"))
-    # every count of a value reaches this aggregate as two candidate values at most
-    found = placed.groupBy(group).agg(F.max("_n").alias("_n"), *picks)
+    offsets = slice_offsets(sliced, count, group)
+    ranks = [F.lit(float(s)) * (F.col("total") - 1) for s in shares]
+    ends = [r for rank in ranks for r in (F.floor(rank), F.ceil(rank))]
+    first, last = F.col("before"), F.col("before") + F.col("inside")
+    wanted = offsets.filter(F.exists(F.array(*ends), lambda r: (r >= first) & (r < last)))
+    run = _running(sliced, wanted.drop("inside"), value, count, group, "_run")
+    picks = [
+        F.max(F.when((F.col("_run") > r) & (F.col("_run") - F.col(count) <= r), F.col(value))).alias(f"_e{i}")
+        for i, r in enumerate(ends)
+    ]
+    found = run.groupBy(group).agg(F.max("total").alias("total"), *picks)
     out = [F.col(group)]
-    for i, share in enumerate(shares):
-        rank = F.lit(float(share)) * (F.col("_n") - 1)
-        part = rank - F.floor(rank)
-        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part).alias(f"q{i}"))
+    for i, rank in enumerate(ranks):
+        low, high = F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}")
+        out.append((low + (high - low) * (rank - F.floor(rank))).alias(f"q{i}"))
     return found.select(*out)
 
 

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.jsons import EXACT
-from tidemark.operators.ordered import quantiles
+from tidemark.operators.ordered import in_slices, quantiles
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -44,28 +43,27 @@ def frame_check(df: DataFrame, required: list[str] = ()) -> DataFrame:
     )
 
 
-def row_digest(df: DataFrame) -> Column:
-    """SHA-256 of a whole row, null-safe; stands in for a wide row in a shuffle."""
+def row_digest(df: DataFrame) -> list[Column]:
+    """128-bit hash of a whole row with its nulls; stands in for a wide row in a shuffle."""
     cells = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = c + F.lit(0.0)  # -0.0 equals 0.0
-        cells.append(c.alias(f.name))
-    return F.sha2(F.to_json(F.struct(*cells), EXACT), 256)
+        # a hash passes over nulls, so each cell says whether it is one
+        cells += [c, c.isNull()]
+    return [F.xxhash64(*cells).alias("_h1"), F.xxhash64(F.lit("second"), *cells).alias("_h2")]
 
 
 def quality_report(df: DataFrame) -> DataFrame:
     """One row: rows, columns, nulls per column, duplicate rows, score.
 
-    Rows are told apart by a 32-byte digest, so long texts are not shuffled; the
+    Rows are told apart by a 16-byte hash, so long texts are not shuffled; the
     null counts of equal rows are added up on the way.
     """
     null_sums = [F.col(f"`{c}`").isNull().cast("int").alias(f"null_{c}") for c in df.columns]
     # equal rows have equal null flags, so the flags of any of them will do
     distinct = (
-        df.select(row_digest(df).alias("_d"), *null_sums)
-        .groupBy("_d")
+        df.select(*row_digest(df), *null_sums)
+        .groupBy("_h1", "_h2")
         .agg(F.count(F.lit(1)).alias("_n"), *[F.max(f"null_{c}").alias(f"null_{c}") for c in df.columns])
     )
     counted = distinct.agg(
@@ -100,57 +98,56 @@ def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def table_profile(df: DataFrame) -> DataFrame:
-    """One row per column: type, nulls, distinct values; numbers also count to max.
+    """One row per column: type, count, nulls, distinct values; numbers also mean to max.
 
-    Everything is read off the value frequencies, which are combined before the
-    shuffle. Quartiles are exact and interpolated.
+    Moments come from one pass without a shuffle of rows. Distinct values and the
+    exact, interpolated quartiles come from the value frequencies, which are
+    combined before their shuffle.
     """
     numbers = _numeric(df)
     others = [c for c in df.columns if c not in numbers]
-    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    parts = []
-    if numbers:
-        freq = value_frequencies(df.select(*[F.col(c).cast("double").alias(c) for c in numbers]), numbers)
-        n, v = F.col("n"), F.col("value")
-        mean = F.sum(v * n) / F.sum("n")
-        base = freq.groupBy("column").agg(
-            F.sum("n").alias("count"),
-            F.count(F.lit(1)).alias("distinct"),
-            mean.alias("mean"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-        means = base.agg(F.map_from_entries(F.collect_list(F.struct("column", "mean")))).scalar()
-        off = v - F.element_at(means, F.col("column"))
-        spread = freq.groupBy("column").agg(
-            F.when(F.sum("n") > 1, F.sqrt(F.sum(off * off * n) / (F.sum("n") - 1))).alias("std")
+    nothing = F.lit(None).cast("double")
+
+    def moments(c: str) -> Column:
+        v = F.col(f"`{c}`").cast("double")
+        v = F.when(~F.isnan(v), v)
+        number = c in numbers
+        return F.struct(
+            F.lit(c).alias("column"),
+            F.count(v if number else F.col(f"`{c}`")).alias("count"),
+            (F.avg(v) if number else nothing).alias("mean"),
+            (F.stddev_samp(v) if number else nothing).alias("std"),
+            (F.min(v) if number else nothing).alias("min"),
+            (F.max(v) if number else nothing).alias("max"),
+            F.count(F.lit(1)).alias("_rows"),
         )
-        quarters = quantiles(freq, "value", "n", "column", [0.25, 0.5, 0.75])
-        parts.append(
-            base.join(spread, "column", "left")
-            .join(quarters, "column", "left")
-            .select(
-                "column", "count", "distinct", "mean", "std", "min",
-                F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max",
-            )
-        )
+
+    table = df.agg(F.array(*[moments(c) for c in df.columns]).alias("m")).select(F.inline("m"))
+    distinct = []
+    if numbers:
+        doubles = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in numbers])
+        freq = value_frequencies(doubles, numbers).filter(~F.isnan("value"))
+        sliced = in_slices(freq, "value", "column")
+        distinct.append(sliced.groupBy("column").agg(F.count(F.lit(1)).alias("distinct")))
+        table = table.join(quantiles(sliced, "value", "n", "column", [0.25, 0.5, 0.75]), "column", "left")
     if others:
-        freq = value_frequencies(df.select(*[F.col(c).cast("string").alias(c) for c in others]), others)
-        parts.append(
-            freq.groupBy("column").agg(
-                F.sum("n").alias("count"), F.count(F.lit(1)).alias("distinct")
-            )
-        )
-    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    kinds = df.sparkSession.createDataFrame(
-        [(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column string, type string"
-    )
-    return kinds.join(found, "column", "left").withColumns(
-        {
-            "count": F.coalesce("count", F.lit(0)),
-            "distinct": F.coalesce("distinct", F.lit(0)),
-            "nulls": rows - F.coalesce("count", F.lit(0)),
-        }
+        texts = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in others])
+        freq = value_frequencies(texts, others)
+        distinct.append(freq.groupBy("column").agg(F.count(F.lit(1)).alias("distinct")))
+    found = reduce(lambda a, b: a.unionByName(b), distinct)
+    kinds = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
+    quarters = ["q0", "q1", "q2"] if numbers else [nothing] * 3
+    return table.join(found, "column", "left").select(
+        "column",
+        kinds[F.col("column")].alias("type"),
+        "count",
+        (F.col("_rows") - F.col("count")).alias("nulls"),
+        F.coalesce("distinct", F.lit(0)).alias("distinct"),
+        "mean",
+        "std",
+        "min",
+        *[F.col(q).alias(n) if isinstance(q, str) else q.alias(n) for q, n in zip(quarters, ("p25", "p50", "p75"))],
+        "max",
     )
 
 

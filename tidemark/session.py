@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Skewed joins are split at run time even when the split costs one more
 # shuffle; post-shuffle partitions are sized by bytes, not by a fixed count.
@@ -54,10 +54,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch(spark, "checkpoint"))
-    return df.checkpoint()
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it from there.
+
+    One pass, and what follows survives the loss of executors without a recount.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+

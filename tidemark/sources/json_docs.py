@@ -22,7 +22,9 @@ def scan_envelopes(spark: SparkSession, path: str, item: str) -> DataFrame:
     items = F.when(bare, F.from_json("value", f"array<struct<{item}>>")).otherwise(
         F.from_json("value", f"data array<struct<{item}>>")["data"]
     )
-    return docs.select(F.explode(items).alias("item")).select("item.*")
+    # the inner explode would add a filter that parses the document a second time
+    rows = docs.select(F.explode_outer(items).alias("item"))
+    return rows.filter(F.col("item").isNotNull()).select("item.*")
 
 
 def scan_endpoints(spark: SparkSession, paths: dict[str, str], item: str) -> DataFrame:
@@ -34,14 +36,8 @@ def scan_endpoints(spark: SparkSession, paths: dict[str, str], item: str) -> Dat
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def root_records(value: Column) -> Column:
-    """Records of a JSON text as ``array<variant>``.
-
-    A list is taken as it is. Of an object the first list under a known key is
-    taken; where there is none, or it is empty, the object itself is the record.
-    Any other text gives null.
-    """
-    doc = F.try_parse_json(value)
+def _records(value: Column, doc: Column) -> Column:
+    """Records of a document (its text and its variant) as ``array<variant>``."""
     whole = F.try_variant_get(doc, "$", "array<variant>")
     under = F.coalesce(*[F.try_variant_get(doc, f"$.{k}", "array<variant>") for k in ROOT_KEYS])
     is_object = F.ltrim(value).startswith("{") & doc.isNotNull()
@@ -53,7 +49,13 @@ def root_records(value: Column) -> Column:
 
 
 def search_roots(docs: DataFrame, value: str, record: str) -> DataFrame:
-    """Rows of the records of each document, in the given record schema."""
-    return docs.select(F.explode(root_records(F.col(value))).alias("r")).select(
-        F.try_variant_get("r", "$", f"struct<{record}>").alias("r")
-    ).filter(F.col("r").isNotNull()).select("r.*")
+    """Rows of the records of each JSON document, in the given record schema.
+
+    A list is taken as it is. Of an object the first list under a known key is
+    taken; where there is none, or it is empty, the object itself is the record.
+    Any other text gives no rows.
+    """
+    parsed = docs.select(F.col(value).alias("_text"), F.try_parse_json(value).alias("_doc"))
+    records = parsed.select(F.explode_outer(_records(F.col("_text"), F.col("_doc"))).alias("r"))
+    typed = records.select(F.try_variant_get("r", "$", f"struct<{record}>").alias("r"))
+    return typed.filter(F.col("r").isNotNull()).select("r.*")
