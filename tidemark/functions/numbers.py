@@ -49,6 +49,6 @@ def double_text(c: Column) -> Column:
     wide = F.when(size >= 1e7, c.cast("string").try_cast("decimal(38,10)")).otherwise(
         c.cast("string").try_cast("decimal(38,24)")
     )
-    plain = F.regexp_replace(F.rtrim(F.lit("0"), wide.cast("string")), "\\.$", ".0")
+    plain = F.regexp_replace(F.rtrim(wide.cast("string"), F.lit("0")), "\\.$", ".0")
     odd = ((size >= 1e7) & (size < 1e16)) | ((size < 1e-3) & (size >= 1e-4))
     return F.when(odd, plain).otherwise(c.cast("string"))

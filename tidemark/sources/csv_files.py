@@ -135,8 +135,10 @@ def scan_typed_csv(spark: SparkSession, path: str, names: list[str]) -> DataFram
     checks = []
     for n in names:
         c = F.col(f"`{n}`")
-        checks.append(F.bool_and(_digits(c)).alias(f"{n}|whole"))
-        checks.append(F.bool_and(_digits(c) | parse_double(c).isNotNull()).alias(f"{n}|number"))
+        number = _digits(c) | parse_double(c).isNotNull()
+        # empty cells have no say
+        checks.append(F.bool_and(F.when(c.isNotNull(), _digits(c))).alias(f"{n}|whole"))
+        checks.append(F.bool_and(F.when(c.isNotNull(), number)).alias(f"{n}|number"))
     found = raw.agg(*checks).first()
     out = []
     for n in names:
