@@ -20,6 +20,13 @@ def whole_days(later: Column, earlier: Column) -> Column:
     return (days - F.when(F.make_dt_interval(days) > span, 1).otherwise(0)).cast("bigint")
 
 
+def minute_number(c: Column) -> Column:
+    """Minutes since 1970, without a time zone; null stays null."""
+    span = c - moment("1970-01-01 00:00:00")
+    part = [F.extract(F.lit(unit), span) for unit in ("DAY", "HOUR", "MINUTE")]
+    return (part[0] * 1440 + part[1] * 60 + part[2]).cast("bigint")
+
+
 def iso_text(c: Column) -> Column:
     """ISO text with microseconds only where there are any."""
     seconds = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import whole_days
+from tidemark.functions.times import minute_number, whole_days
 
 
 def _done() -> Column:
@@ -131,11 +131,12 @@ def equal_width_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFra
 def _velocity_parts(updates: DataFrame) -> DataFrame:
     """Per key: update count, last update, and sums of the update-to-update speeds.
 
-    Rows of a key are ordered inside one day; only the first and last row of
-    each (key, day) are ordered over the whole key. So the rows of a hot key
-    spread over its days and its second window is as long as its history.
+    Rows of a key are ordered inside one minute; only the first and last row of
+    each (key, minute) are ordered over the whole key. So the rows of a hot key
+    spread over its minutes, and its second window is at most as long as its
+    history has minutes.
     """
-    day = Window.partitionBy("key_result_id", "_day").orderBy(
+    inside = Window.partitionBy("key_result_id", "_slice").orderBy(
         F.col("update_date").asc_nulls_last(), F.col("update_id")
     )
     rows = updates.select(
@@ -143,22 +144,22 @@ def _velocity_parts(updates: DataFrame) -> DataFrame:
         "update_id",
         "update_date",
         F.col("progress_percentage").cast("double").alias("p"),
-        F.to_date("update_date").alias("_day"),
+        minute_number(F.col("update_date")).alias("_slice"),
     )
     inner = rows.select(
         "key_result_id",
-        "_day",
+        "_slice",
         "update_date",
         "p",
-        F.row_number().over(day).alias("_first"),
-        F.lead(F.lit(1)).over(day).isNull().alias("_last"),
+        F.row_number().over(inside).alias("_first"),
+        F.lead(F.lit(1)).over(inside).isNull().alias("_last"),
         _speed(
-            F.col("p") - F.lag("p").over(day),
-            whole_days(F.col("update_date"), F.lag("update_date").over(day)),
+            F.col("p") - F.lag("p").over(inside),
+            whole_days(F.col("update_date"), F.lag("update_date").over(inside)),
         ).alias("_v"),
     ).withColumn("_v", F.when(F.col("_first") > 1, F.col("_v")))
     first, last = F.col("_first") == 1, F.col("_last")
-    days = inner.groupBy("key_result_id", "_day").agg(
+    slices = inner.groupBy("key_result_id", "_slice").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("update_date").alias("last_update"),
         *_speed_sums("_v"),
@@ -167,8 +168,8 @@ def _velocity_parts(updates: DataFrame) -> DataFrame:
         F.max(F.when(last, F.col("p"))).alias("p1"),
         F.max(F.when(last, F.col("update_date"))).alias("t1"),
     )
-    key = Window.partitionBy("key_result_id").orderBy(F.col("_day").asc_nulls_last())
-    stitched = days.withColumn(
+    key = Window.partitionBy("key_result_id").orderBy(F.col("_slice").asc_nulls_last())
+    stitched = slices.withColumn(
         "_v",
         _speed(
             F.col("p0") - F.lag("p1").over(key),

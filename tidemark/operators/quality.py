@@ -56,34 +56,46 @@ def row_digest(df: DataFrame) -> list[Column]:
 def quality_report(df: DataFrame) -> DataFrame:
     """One row: rows, columns, nulls per column, duplicate rows, score.
 
-    Rows are told apart by a 16-byte hash, so long texts are not shuffled; the
-    null counts of equal rows are added up on the way.
+    What is shuffled of a row is its hash and one bit per column that says where
+    it is null, however long its texts are; equal rows are combined before.
     """
-    null_sums = [F.col(f"`{c}`").isNull().cast("int").alias(f"null_{c}") for c in df.columns]
-    # equal rows have equal null flags, so the flags of any of them will do
+    per_word = 60
+    words = [df.columns[i : i + per_word] for i in range(0, len(df.columns), per_word)]
+    masks = [
+        reduce(
+            lambda a, b: a + b,
+            [F.when(F.col(f"`{c}`").isNull(), F.lit(1 << i)).otherwise(0).cast("bigint") for i, c in enumerate(part)],
+        ).alias(f"_m{w}")
+        for w, part in enumerate(words)
+    ]
+    names = [f"_m{w}" for w in range(len(words))]
     distinct = (
-        df.select(*row_digest(df), *null_sums)
-        .groupBy("_h1", "_h2")
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.max(f"null_{c}").alias(f"null_{c}") for c in df.columns])
+        df.select(*row_digest(df), *masks)
+        .groupBy("_h1", "_h2", *names)
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
+
+    def nulls_of(w: int, i: int) -> Column:
+        bit = F.getbit(F.col(f"_m{w}"), F.lit(i)).cast("bigint")
+        return F.coalesce(F.sum(bit * F.col("_n")), F.lit(0))
+
     counted = distinct.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"),
         F.count(F.lit(1)).alias("_distinct"),
-        *[F.coalesce(F.sum(F.col(f"null_{c}") * F.col("_n")), F.lit(0)).alias(f"null_{c}") for c in df.columns],
+        *[nulls_of(w, i).alias(f"null_{c}") for w, part in enumerate(words) for i, c in enumerate(part)],
     )
     nulls = reduce(lambda a, b: a + b, [F.col(f"null_{c}") for c in df.columns])
     duplicates = F.col("total_rows") - F.col("_distinct")
     width = len(df.columns)
+    complete = 1 - F.try_divide(nulls, F.col("total_rows") * width)
+    unique = 1 - F.try_divide(duplicates, "total_rows")
     return counted.select(
         "total_rows",
         F.lit(width).cast("bigint").alias("total_columns"),
         *[f"null_{c}" for c in df.columns],
         duplicates.alias("duplicate_rows"),
-        (
-            (1 - F.try_divide(nulls, F.col("total_rows") * width))
-            + (1 - F.try_divide(duplicates, "total_rows"))
-        ).alias("_double"),
-    ).withColumn("quality_score", F.col("_double") / 2).drop("_double")
+        ((complete + unique) / 2).alias("quality_score"),
+    )
 
 
 def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:

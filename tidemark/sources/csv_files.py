@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,7 +21,7 @@ SEPARATORS = [",", ";", "\t", "|"]
 
 
 def describe_files(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: encoding, separator and header line.
+    """Per file: encoding, separator and header line. Files without text are left out.
 
     One pass over the text: a file with any byte sequence that is not UTF-8 is
     read as ISO-8859-1 as a whole, and its separator is the most frequent
@@ -45,6 +47,7 @@ def describe_files(spark: SparkSession, path: str) -> DataFrame:
         )
         for i, s in enumerate(SEPARATORS)
     ]
+    files = files.filter(F.col("header").isNotNull())
     return files.withColumn("separator", F.array_max(F.array(*counts))["sep"])
 
 
@@ -93,32 +96,43 @@ def _with_row_number(rows: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def scan_layout(
+    spark: SparkSession,
+    path: str | list[str],
+    names: list[str],
+    separator: str = ",",
+    encoding: str = "UTF-8",
+    multi_line: bool = False,
+) -> DataFrame:
+    """CSV files of one known layout as trimmed text columns, without a look at them first."""
+    rows = _reader(spark, separator, encoding, multi_line).schema(_text_schema(names)).csv(path)
+    return _with_row_number(rows, names).withColumns(
+        {n: blank_to_null(strip(F.col(f"`{n}`"))) for n in names}
+    )
+
+
 def scan_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """All CSV files below ``path`` as trimmed text columns, whatever their layout.
 
     Files are grouped by (encoding, separator, header); each group is one scan.
-    The driver sees one small row per file, as it does for any file listing.
+    Where all files share a layout the path is read as it is; else each scan gets
+    the list of its files, which the driver holds for any scan.
     ``multi_line`` allows line ends inside quotes; such files are not split.
     """
-    layouts = (
-        describe_files(spark, path)
-        .groupBy("encoding", "separator", "header")
-        .agg(F.collect_list("path").alias("paths"))
-        .collect()
-    )
-    out = None
-    for layout in sorted(layouts, key=lambda r: r["header"]):
-        names = _names(layout["header"], layout["separator"])
-        rows = _reader(spark, layout["separator"], layout["encoding"], multi_line).schema(
-            _text_schema(names)
-        ).csv(layout["paths"])
-        part = _with_row_number(rows, names).withColumns(
-            {n: blank_to_null(strip(F.col(f"`{n}`"))) for n in names}
-        )
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    files = describe_files(spark, path)
+    key = ["encoding", "separator", "header"]
+    layouts = files.select(*key).distinct().orderBy("header", "separator", "encoding").collect()
+    if not layouts:
         raise FileNotFoundError(f"no CSV lines below {path}")
-    return out
+    parts = []
+    for layout in layouts:
+        read = path
+        if len(layouts) > 1:
+            same = [F.col(k).eqNullSafe(F.lit(layout[k])) for k in key]
+            read = [r["path"] for r in files.filter(same[0] & same[1] & same[2]).select("path").toLocalIterator()]
+        names = _names(layout["header"], layout["separator"])
+        parts.append(scan_layout(spark, read, names, layout["separator"], layout["encoding"], multi_line))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def _digits(c: Column) -> Column:
@@ -158,8 +172,7 @@ def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for path, size in zip(batch["path"], batch["size_bytes"]):
-            uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-            system, inner = fs.FileSystem.from_uri(uri)
+            system, inner = fs.FileSystem.from_uri(path)
             digest, lines, last = hashlib.sha256(), 0, b"\n"
             with system.open_input_stream(inner, buffer_size=1 << 22) as source:
                 while block := source.read(1 << 22):
@@ -176,7 +189,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(path)
-        .select("path", F.col("length").alias("size_bytes"))
+        .select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size_bytes"))
     )
 
 
@@ -189,11 +202,11 @@ def file_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 def zone_inventory(spark: SparkSession, root: str, zones: list[str], shown: int = 10) -> DataFrame:
     """Per zone folder: file count, total MB, first names; a missing zone has zero files."""
-    root = root.rstrip("/")
-    inner = F.substring_index(F.col("path"), root + "/", -1)
+    inner = F.substring_index(F.col("path"), urlparse(root).path.rstrip("/") + "/", -1)
     files = (
         list_files(spark, root)
         .withColumn("_inner", inner)
+        .filter(F.size(F.split("_inner", "/")) == 2)
         .select(
             F.substring_index("_inner", "/", 1).alias("zone"),
             base_name(F.col("path")).alias("name"),
