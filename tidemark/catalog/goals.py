@@ -208,3 +208,15 @@ def overall_insights(t):
     return G.overall_insights(t.progress_updates).withColumn(
         "avg_update_frequency", F.round("avg_update_frequency", 6)
     )
+
+
+@query(
+    "velocity_histogram",
+    f"""WITH {TREND_CTE}, s AS (SELECT min(velocity) AS lo, max(velocity) AS hi FROM t)
+SELECT CAST(least(floor((velocity - lo) / ((hi - lo) / 20)), 19) AS BIGINT) AS bin, count(*) AS n
+FROM t, s WHERE velocity IS NOT NULL GROUP BY 1""",
+    ("v_progress_updates",),
+)
+def velocity_histogram(t):
+    trends = G.key_result_trends(t.progress_updates)
+    return G.equal_width_histogram(trends, "velocity", 20)

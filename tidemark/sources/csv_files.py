@@ -6,7 +6,7 @@ import csv
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import urlparse
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -129,7 +129,7 @@ def scan_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
         read = path
         if len(layouts) > 1:
             same = [F.col(k).eqNullSafe(F.lit(layout[k])) for k in key]
-            read = [r["path"] for r in files.filter(same[0] & same[1] & same[2]).select("path").toLocalIterator()]
+            read = [unquote(r["path"]) for r in files.filter(same[0] & same[1] & same[2]).select("path").toLocalIterator()]
         names = _names(layout["header"], layout["separator"])
         parts.append(scan_layout(spark, read, names, layout["separator"], layout["encoding"], multi_line))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 ROOT_KEYS = ["data", "results", "items", "tasks", "weeklyPlans", "plans", "content"]
 
 
-def scan_envelopes(spark: SparkSession, path: str, item: str) -> DataFrame:
-    """Items of ``{"data": [...]}`` or bare-list documents, one document per file.
+def scan_envelopes(spark: SparkSession, path: str, item: str, per_line: bool = False) -> DataFrame:
+    """Items of ``{"data": [...]}`` or bare-list documents, one document per file or per line.
 
     ``item`` is the item's schema. Other documents, empty ones and broken ones
-    give no rows.
+    give no rows. A file of one document is one task; files of lines are split.
     """
-    docs = spark.read.text(path, wholetext=True)
+    docs = spark.read.text(path, wholetext=not per_line)
     bare = F.ltrim("value").startswith("[")
     items = F.when(bare, F.from_json("value", f"array<struct<{item}>>")).otherwise(
         F.from_json("value", f"data array<struct<{item}>>")["data"]
