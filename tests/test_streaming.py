@@ -20,25 +20,25 @@ def stream(spark, path):
 def state(spark, out):
     files = {(r["path"], r["sha256"]): (r["rows"], r["file_id"]) for r in I.raw_files(spark, out).collect()}
     records = sorted((r["offset"], r["payload"]) for r in I.raw_zone(spark, out).collect())
-    return files, records, sorted(r["offset"] for r in I.dead_zone(spark, out).collect())
+    return files, records, sorted(r["offset"] for r in I.dead_zone(spark, out, "raw").collect())
 
 
 def test_ingest_restart_and_dead_letters(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     env = {"_file_path": "a.csv", "_file_sha256": "s", "_rows": 3}
-    write(spark, source, [(0, {**env, "_row_num": 1, "x": 1, "y": {"z": [1.5, None]}}), (1, "{broken"), (2, "[1]")])
+    write(spark, source, [(0, {**env, "_row_num": 1, "x": 1, "y": {"z": [1.5, None]}}), (1, "{broken"), (2, "[1]"), (9, {"_row_num": "x"})])
     write(spark, source, [(3, {"_source": "api2", "_batch_id": "b", "n": "t"}), (4, {"q": None})])
-    I.start_ingest(stream(spark, source), out, "raw", F.lit("t1")).awaitTermination()
+    I.start_ingest(stream(spark, source), out, F.lit("t1")).awaitTermination()
     files, records, dead = state(spark, out)
     assert set(files) == {("a.csv", "s"), ("api2", "b"), ("api", "")}
     assert [(o, json.loads(p)) for o, p in records] == [(0, {"x": 1, "y": {"z": [1.5, None]}}), (3, {"n": "t"}), (4, {"q": None})]
-    assert dead == [1, 2]
+    assert dead == [1, 2, 9]
     # nothing new: nothing added
-    I.start_ingest(stream(spark, source), out, "raw", F.lit("t2")).awaitTermination()
+    I.start_ingest(stream(spark, source), out, F.lit("t2")).awaitTermination()
     assert state(spark, out) == (files, records, dead)
     # a new version of a file keeps its id and takes the new row count
     write(spark, source, [(5, {**env, "_rows": 9, "x": 2})])
-    I.start_ingest(stream(spark, source), out, "raw", F.lit("t3")).awaitTermination()
+    I.start_ingest(stream(spark, source), out, F.lit("t3")).awaitTermination()
     after, more, _ = state(spark, out)
     assert after[("a.csv", "s")] == (9, files[("a.csv", "s")][1]) and len(more) == 4
 
@@ -47,7 +47,7 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     out = str(tmp_path / "out")
     batch = spark.createDataFrame([(0, '{"a": 1}', 0), (1, "x", 0)], SCHEMA)
     for _ in range(2):
-        I.write_batch(batch, 0, out, "raw", F.lit("t"))
+        I.write_batch(batch, 0, out, F.lit("t"))
     _, records, dead = state(spark, out)
     assert len(records) == 1 and dead == [1]
 

@@ -43,7 +43,7 @@ def land_envelopes(t, name):
 
 def ingested(t, name):
     out = scratch(t.spark, name)
-    I.start_ingest(land_envelopes(t, name + "_in"), out, "raw_ingest", F.lit(AS_OF)).awaitTermination()
+    I.start_ingest(land_envelopes(t, name + "_in"), out, F.lit(AS_OF)).awaitTermination()
     return out
 
 
@@ -76,7 +76,7 @@ def stream_files(t):
     FROM events WHERE event_id % 7 = 0""",
 )
 def stream_dead_letter(t):
-    return I.dead_zone(t.spark, ingested(t, "stream_dead_letter")).drop("payload")
+    return I.dead_zone(t.spark, ingested(t, "stream_dead_letter"), "raw_ingest").drop("payload")
 
 
 def events(t, name):

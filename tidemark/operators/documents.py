@@ -100,9 +100,6 @@ def _chunk_rows(docs: DataFrame, keys: list[str], chunks: Column) -> DataFrame:
     return rows.filter(F.col("chunk").isNotNull())
 
 
-_NO_TEXTS = "array<string>"
-
-
 def sentence_chunks(
     docs: DataFrame, keys: list[str], text: str = "text", tokens: int = 512, overlap: int = 64
 ) -> DataFrame:
@@ -116,36 +113,46 @@ def sentence_chunks(
     parts = F.transform(F.split(text, "[.!?]+"), lambda s: strip(s))
     sentences = F.transform(
         F.filter(parts, lambda s: s != ""),
-        lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("k")),
+        lambda s, i: F.struct(s.alias("s"), F.size(words(s)).alias("k"), i.alias("i")),
+    )
+    cut = docs.select(*keys, sentences.alias("_s"), F.col(text).alias("_t"))
+    none = F.array().cast("array<string>")
+    # The open chunk is the carried words and the sentences from ``first`` on, so
+    # a step that closes nothing copies nothing.
+    start = F.struct(
+        none.alias("done"), none.alias("carried"), F.lit(0).alias("first"), F.lit(0).alias("n")
     )
-    none = F.array().cast(_NO_TEXTS)
-    start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("n"))
+
+    def entries(state: Column, end: Column) -> Column:
+        since = F.slice(F.col("_s")["s"], state["first"] + 1, end - state["first"])
+        return F.concat(state["carried"], since)
 
     def step(state: Column, s: Column) -> Column:
-        is_open = F.size(state["open"]) > 0
-        full = (state["n"] + s["k"] > budget) & is_open
-        tail = state["open"]
+        carried = F.size(state["carried"])
+        is_open = carried + s["i"] > state["first"]
+        full = is_open & (carried + state["n"] + s["k"] > budget)
+        whole = entries(state, s["i"])
+        tail = whole
         if keep:  # without an overlap the whole chunk is carried, as a slice from -0 takes all
-            tail = F.when(F.size(tail) > keep, F.slice(tail, -keep, F.lit(keep))).otherwise(tail)
-        # the carried text is cut into words again
-        carried = words(F.array_join(tail, " "))
+            tail = F.when(F.size(whole) > keep, F.slice(whole, -keep, F.lit(keep))).otherwise(whole)
         closed = F.struct(
-            F.array_append(state["done"], F.array_join(state["open"], " ")).alias("done"),
-            F.array_append(carried, s["s"]).alias("open"),
-            (F.size(carried) + s["k"]).alias("n"),
+            F.array_append(state["done"], F.array_join(whole, " ")).alias("done"),
+            # the carried text is cut into words again
+            words(F.array_join(tail, " ")).alias("carried"),
+            s["i"].alias("first"),
+            s["k"].alias("n"),
         )
         grown = F.struct(
             state["done"].alias("done"),
-            F.array_append(state["open"], s["s"]).alias("open"),
+            state["carried"].alias("carried"),
+            state["first"].alias("first"),
             (state["n"] + s["k"]).alias("n"),
         )
         return F.when(full, closed).otherwise(grown)
 
     def finish(state: Column) -> Column:
-        last = F.array_append(state["done"], F.array_join(state["open"], " "))
-        return F.when(F.size(state["open"]) > 0, last).otherwise(state["done"])
+        return F.array_append(state["done"], F.array_join(entries(state, F.size("_s")), " "))
 
-    cut = docs.select(*keys, sentences.alias("_s"), F.col(text).alias("_t"))
     # without any sentence (only terminators) the words themselves are windowed
     chunks = F.when(F.size("_s") > 0, F.aggregate("_s", start, step, finish)).when(
         strip(F.col("_t")) != "", _windows(words(F.col("_t")), budget, keep)

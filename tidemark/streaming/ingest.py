@@ -2,71 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.text import blank_to_null
 from tidemark.sinks.zones import dead_letters, file_id, file_rows
 
 # The envelope fields of a message.
-ENVELOPE = "_file_sha256 STRING, _batch_id STRING, _file_path STRING, _source STRING, _rows BIGINT, _row_num BIGINT"
+ENVELOPE = ["_file_sha256", "_batch_id", "_file_path", "_source", "_rows", "_row_num"]
 
-
-def _payload(value: Column) -> Column:
-    """JSON text of the fields that do not start with an underscore, types kept."""
-    fields = F.from_json(value, "map<string, variant>")
-    return F.to_json(F.map_filter(fields, lambda k, v: ~k.startswith("_")))
+STORED = """file_id STRING, path STRING, sha256 STRING, rows BIGINT, row_num BIGINT, payload STRING, error STRING,
+value STRING, `partition` INT, `offset` BIGINT, loaded_at STRING"""
 
 
 def parse_envelopes(messages: DataFrame) -> DataFrame:
-    """Envelope fields, payload and an ``error`` text for values that are no JSON object."""
-    envelope = F.from_json("value", ENVELOPE)
-    is_object = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
-    first = lambda *cols: F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
-    return messages.withColumn("_e", envelope).select(
+    """Envelope fields, payload and an ``error`` text for values that cannot be stored.
+
+    The payload is the JSON text of the fields that do not start with an
+    underscore, with their types. Only a faulty value is kept as it came.
+    """
+    parsed = messages.select(
         "value",
         "partition",
         "offset",
-        F.when(~is_object, "invalid json").alias("error"),
-        F.coalesce(first(F.col("_e._file_path")), F.col("_e._source"), F.lit("api")).alias("path"),
-        F.coalesce(first(F.col("_e._file_sha256"), F.col("_e._batch_id")), F.lit("")).alias("sha256"),
-        F.coalesce("_e._rows", F.lit(0)).alias("rows"),
-        F.coalesce("_e._row_num", F.lit(0)).alias("row_num"),
-        F.when(is_object, _payload(F.col("value"))).alias("payload"),
+        F.from_json("value", ", ".join(f"{n} STRING" for n in ENVELOPE)).alias("_e"),
+        F.from_json("value", "map<string, variant>").alias("_fields"),
     )
 
+    def field(name: str) -> Column:
+        return F.col(f"_e.{name}")
+
+    def number(name: str) -> Column:
+        return F.coalesce(field(name).try_cast("bigint"), F.lit(0))
 
-def write_batch(messages: DataFrame, batch: int, out: str, topic: str, at: Column) -> None:
-    """One micro-batch to ``files``, ``records`` and ``dead``.
+    def broken(name: str) -> Column:
+        bad = field(name).isNotNull() & field(name).try_cast("bigint").isNull()
+        return F.when(bad, f"invalid {name}")
+
+    error = F.when(F.col("_fields").isNull(), "invalid json").otherwise(
+        F.coalesce(broken("_row_num"), broken("_rows"))
+    )
+    payload = F.to_json(F.map_filter("_fields", lambda k, v: ~k.startswith("_")))
+    # an empty path counts as not set, an empty source does not
+    path = F.coalesce(blank_to_null(field("_file_path")), field("_source"), F.lit("api"))
+    sha = F.coalesce(
+        blank_to_null(field("_file_sha256")), blank_to_null(field("_batch_id")), F.lit("")
+    )
+    return parsed.select(
+        file_id(path, sha).alias("file_id"),
+        path.alias("path"),
+        sha.alias("sha256"),
+        number("_rows").alias("rows"),
+        number("_row_num").alias("row_num"),
+        payload.alias("payload"),
+        error.alias("error"),
+        F.when(error.isNotNull(), F.col("value")).alias("value"),
+        F.col("partition").cast("int").alias("partition"),
+        F.col("offset").cast("bigint").alias("offset"),
+    )
 
-    Every batch owns a folder that it overwrites, so a repeated batch changes
+
+def write_batch(messages: DataFrame, batch: int, out: str, at: Column) -> None:
+    """One micro-batch: its messages in one pass (good and faulty apart), then its files.
+
+    Every batch owns folders that it overwrites, so a repeated batch changes
     nothing. ``files`` is a log; readers take the last row per file.
     """
-    parsed = parse_envelopes(messages).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        good = parsed.filter(F.col("error").isNull())
-        stamped = good.select("path", "sha256", "rows", at.alias("ingested_at"))
-        file_rows(stamped).write.mode("overwrite").parquet(f"{out}/files/batch={batch}")
-        good.select(
-            file_id(F.col("path"), F.col("sha256")).alias("file_id"),
-            "row_num",
-            "payload",
-            at.alias("loaded_at"),
-            "partition",
-            "offset",
-        ).write.mode("overwrite").parquet(f"{out}/records/batch={batch}")
-        dead_letters(parsed.drop("payload"), F.col("error"), topic, at).write.mode("overwrite").parquet(
-            f"{out}/dead/batch={batch}"
-        )
-    finally:
-        parsed.unpersist()
-
-
-def start_ingest(messages: DataFrame, out: str, topic: str, at: Column) -> StreamingQuery:
+    spark, folder = messages.sparkSession, f"{out}/messages/batch={batch}"
+    rows = parse_envelopes(messages).withColumn("loaded_at", at.cast("string"))
+    split = rows.withColumn("ok", F.col("error").isNull().cast("int"))
+    split.write.mode("overwrite").partitionBy("ok").parquet(folder)
+    good = spark.read.schema(f"{STORED}, ok INT").parquet(folder).filter("ok = 1")
+    stamped = good.select("path", "sha256", "rows", F.col("loaded_at").alias("ingested_at"))
+    file_rows(stamped).write.mode("overwrite").parquet(f"{out}/files/batch={batch}")
+
+
+def start_ingest(messages: DataFrame, out: str, at: Column) -> StreamingQuery:
     """Run until the source is used up. ``messages`` has value, partition, offset."""
     return (
-        messages.writeStream.foreachBatch(lambda df, batch: write_batch(df, batch, out, topic, at))
+        messages.writeStream.foreachBatch(lambda df, batch: write_batch(df, batch, out, at))
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -79,9 +94,18 @@ def raw_files(spark: SparkSession, out: str) -> DataFrame:
     return file_rows(log)
 
 
+def _messages(spark: SparkSession, out: str, ok: int) -> DataFrame:
+    stored = spark.read.schema(f"{STORED}, batch BIGINT, ok INT").parquet(f"{out}/messages")
+    return stored.filter(F.col("ok") == ok)
+
+
 def raw_zone(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/records").drop("batch")
+    """Stored records of all batches."""
+    return _messages(spark, out, 1).select(
+        "file_id", "row_num", "payload", "loaded_at", "partition", "offset"
+    )
 
 
-def dead_zone(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/dead").drop("batch")
+def dead_zone(spark: SparkSession, out: str, topic: str) -> DataFrame:
+    """Faulty messages of all batches with where they came from."""
+    return dead_letters(_messages(spark, out, 0).drop("payload"), F.col("error"), topic, F.col("loaded_at"))
