@@ -23,23 +23,29 @@ def run(stream: DataFrame, write: BatchWriter, checkpoint: str, mode: str = "app
     query.awaitTermination()
 
 
+def _store_version(df: DataFrame, out: str, batch: int) -> None:
+    """Write a version into one of two slots; the version before stays readable.
+
+    A repeated batch overwrites its own slot, and old versions do not pile up.
+    """
+    df.withColumn("_version", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(
+        f"{out}/state/slot={batch % 2}"
+    )
+
+
 def keep_summary(summary: DataFrame, out: str) -> None:
     """Keep a streaming aggregate as a table; every batch writes the whole new state.
 
     The state of the aggregate is one row per group.
     """
-
-    def write(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/state/version={batch}")
-
-    run(summary, write, f"{out}/checkpoint", "complete")
+    run(summary, lambda df, batch: _store_version(df, out, batch), f"{out}/checkpoint", "complete")
 
 
 def newest(spark: SparkSession, out: str) -> DataFrame:
-    """The last version written below ``out``; older ones are skipped by partition."""
-    versions = spark.read.parquet(f"{out}/state")
-    last = versions.agg(F.max("version").alias("v")).scalar()
-    return versions.filter(F.col("version") == last).drop("version")
+    """The last version written below ``out``."""
+    versions = spark.read.parquet(f"{out}/state").drop("slot")
+    last = versions.agg(F.max("_version").alias("v")).scalar()
+    return versions.filter(F.col("_version") == last).drop("_version")
 
 
 def keep_latest(stream: DataFrame, out: str, order: list[Column], most: int = 1000) -> None:
@@ -49,10 +55,10 @@ def keep_latest(stream: DataFrame, out: str, order: list[Column], most: int = 10
     """
 
     def write(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
         if batch > 0:
-            df = df.unionByName(spark.read.parquet(f"{out}/state/version={batch - 1}"))
-        df.orderBy(*order).limit(most).write.mode("overwrite").parquet(f"{out}/state/version={batch}")
+            before = df.sparkSession.read.parquet(f"{out}/state/slot={(batch - 1) % 2}")
+            df = df.unionByName(before.drop("_version"))
+        _store_version(df.orderBy(*order).limit(most), out, batch)
 
     run(stream, write, f"{out}/checkpoint")
 
