@@ -61,7 +61,7 @@ def nested_plans(
         )
         .withColumnRenamed("_page", "_line_page")
     )
-    tasks = orders.join(daily, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+    tasks = _with_parent(daily, lineitem, "l_orderkey", orders, "o_orderkey", "planTask").select(
         "o_custkey",
         "o_orderkey",
         "_line_page",
@@ -71,7 +71,7 @@ def nested_plans(
             F.col("o_totalprice").alias("weight"),
             F.col("o_orderpriority").alias("priority"),
             F.col("o_orderstatus").alias("status"),
-            F.coalesce("planTask", F.array().cast(daily.schema["planTask"].dataType)).alias("planTask"),
+            "planTask",
         ).alias("t"),
     )
     # The page of a task depends on its keys only; the nested lines stay out of the hash.
@@ -94,15 +94,30 @@ def nested_plans(
         .groupBy("o_custkey", "_page")
         .agg(F.collect_list("t").alias("tasks"))
     )
-    return customer.join(paged, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+    return _with_parent(paged, orders, "o_custkey", customer, "c_custkey", "tasks").select(
         F.col("c_custkey").alias("id"),
         F.col("c_name").alias("description"),
         F.lit("2001-01-01T00:00:00").alias("createdAt"),
         F.lit("2001-06-01T12:00:00").alias("updatedAt"),
-        F.coalesce("tasks", F.array().cast(paged.schema["tasks"].dataType)).alias("tasks"),
+        "tasks",
     )
 
 
+def _with_parent(
+    pages: DataFrame, children: DataFrame, child_key: str, parents: DataFrame, key: str, items: str
+) -> DataFrame:
+    """Each page with its parent row, and each parent without pages with an empty list.
+
+    The many pages of a large parent are the left side of an inner join, which
+    AQE can split; an outer join from the parent would keep them in one task.
+    """
+    held = pages.join(parents, F.col(child_key) == F.col(key))
+    bare = parents.join(
+        children.select(F.col(child_key).alias("_child")).distinct(), F.col(key) == F.col("_child"), "left_anti"
+    ).withColumn(items, F.array().cast(pages.schema[items].dataType))
+    return held.unionByName(bare, allowMissingColumns=True)
+
+
 def nested_items(items: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
     """Items with a store (supplier) and a unit (nation) as nested objects; some have none."""
     stores = supplier.select(
