@@ -81,3 +81,36 @@ def test_upsert_keeps_id_and_last_row(spark):
     first = {r["path"]: r for r in Z.file_rows(df).collect()}
     again = {r["path"]: r for r in Z.file_rows(df.filter("rows <> 2")).collect()}
     assert first["p"]["rows"] == 2 and first["p"]["file_id"] == again["p"]["file_id"]
+
+
+def test_one_layout_with_blank_first_line_and_line_ends_in_quotes(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text('\n\nid,text\n1,"two\nlines"\n2,one\n')
+    got = C.scan_csv(spark, str(tmp_path), multi_line=True).collect()
+    assert sorted((r["id"], r["text"], r["_row_num"]) for r in got) == [("1", "two\nlines", 1), ("2", "one", 2)]
+
+
+def test_layouts_in_files_with_blanks_in_their_names(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("id,x\n1,2\n")
+    (tmp_path / "c+d.csv").write_text("id|y\n3|4\n")
+    got = C.scan_csv(spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["x"], r["y"]) for r in got) == [("1", "2", None), ("3", None, "4")]
+    assert C.file_catalog(spark, str(tmp_path)).count() == 2
+
+
+def test_run_of_the_zones(spark, tmp_path):
+    """Two files of different layout through all zones."""
+    from tidemark.plans.flows import run_zones
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("dept,obj,prio,pct\n sales ,Grow fast,HIGH,150\n,ab,,x\n")
+    (tmp_path / "in" / "b.csv").write_text("department;objective;team\nops;" + "word " * 500 + ";0\n")
+    out = str(tmp_path / "out")
+    totals = run_zones(spark, str(tmp_path / "in"), out, F.lit("now")).first()
+    assert (totals["files"], totals["records"], totals["loaded"], totals["curated"]) == (2, 3, 3, 4)
+    rows = {r["source_row_num"]: r for r in spark.read.parquet(f"{out}/processed/records_clean").filter("department is null or department = 'Sales'").collect()}
+    assert (rows[1]["priority"], float(rows[1]["progress"]), rows[1]["valid"]) == ("High", 100.0, True)
+    assert rows[2]["rejected_reason"] == "Invalid or too short objective" and rows[2]["priority"] == "Medium"
+    docs = spark.read.parquet(f"{out}/curated/documents").collect()
+    chunked = [json.loads(d["meta"]) for d in docs if json.loads(d["meta"])["is_chunked"]]
+    assert sorted(m["chunk_index"] for m in chunked) == [0, 1] and chunked[0]["total_chunks"] == 2
+    assert all(d["source"].rsplit("#")[-1] in ("1", "2") for d in docs)

@@ -117,7 +117,7 @@ _LEAST = 0.97
 
 @query(
     "staged_quality",
-    f"""WITH {STAGES.replace('created_date', 'due_date')} SELECT stage, record_count, round(q, 6) AS quality_score,
+    f"""WITH {STAGES} SELECT stage, record_count, round(q, 6) AS quality_score,
     CASE WHEN q >= {_LEAST} THEN 'passed' ELSE 'failed' END AS status FROM s""",
     ("v_key_results", "v_objectives"),
 )
@@ -252,7 +252,7 @@ def roc_auc(t):
 
 @query(
     "metric_history",
-    f"WITH {METRICS.replace('f AS (SELECT *,', 'f AS (SELECT *,')} SELECT '{AS_OF}' AS timestamp, 'labels' AS model_name, w.*, CAST(NULL AS DOUBLE) AS roc_auc FROM w",
+    f"WITH {METRICS} SELECT '{AS_OF}' AS timestamp, 'labels' AS model_name, w.*, CAST(NULL AS DOUBLE) AS roc_auc FROM w",
     ("v_binary_labels",),
 )
 def metric_history(t):

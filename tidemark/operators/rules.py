@@ -176,4 +176,8 @@ ALIASES = {
 
 
 def rename_aliases(df: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
-    return df.withColumnsRenamed(aliases)
+    """Short names to long ones; where a frame has both, the long column is filled from the short."""
+    have = set(df.columns)
+    both = {short: long for short, long in aliases.items() if short in have and long in have}
+    filled = df.withColumns({long: F.coalesce(long, short) for short, long in both.items()}) if both else df
+    return filled.drop(*both).withColumnsRenamed(aliases)
