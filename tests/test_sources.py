@@ -114,3 +114,14 @@ def test_run_of_the_zones(spark, tmp_path):
     chunked = [json.loads(d["meta"]) for d in docs if json.loads(d["meta"])["is_chunked"]]
     assert sorted(m["chunk_index"] for m in chunked) == [0, 1] and chunked[0]["total_chunks"] == 2
     assert all(d["source"].rsplit("#")[-1] in ("1", "2") for d in docs)
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    load = "import sys, pickle; pickle.loads(sys.stdin.buffer.read()); assert 'tidemark' not in sys.modules"
+    sent = cloudpickle.dumps(C._file_hasher())
+    subprocess.run([sys.executable, "-c", load], input=sent, cwd=tmp_path, check=True)

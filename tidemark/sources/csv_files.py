@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import csv
-import hashlib
-from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import unquote, urlparse
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,22 +162,33 @@ def scan_typed_csv(spark: SparkSession, path: str, names: list[str]) -> DataFram
     return raw.select(*out)
 
 
-def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-256 and line count of each file, read as a stream of blocks."""
-    from pyarrow import fs
+def _file_hasher():
+    """SHA-256 and line count of each file, read as a stream of blocks.
 
-    for batch in batches:
-        rows = []
-        for path, size in zip(batch["path"], batch["size_bytes"]):
-            system, inner = fs.FileSystem.from_uri(path)
-            digest, lines, last = hashlib.sha256(), 0, b"\n"
-            with system.open_input_stream(inner, buffer_size=1 << 22) as source:
-                while block := source.read(1 << 22):
-                    digest.update(block)
-                    lines += block.count(b"\n")
-                    last = block[-1:]
-            rows.append((path, digest.hexdigest(), lines + (last != b"\n") - 1, size))
-        yield pd.DataFrame(rows, columns=["path", "sha256", "estimated_rows", "size_bytes"])
+    A local function: it is sent to the workers by value, so they need pyarrow
+    and pandas but not this package.
+    """
+
+    def hash_files(batches):
+        import hashlib
+
+        import pandas
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for path, size in zip(batch["path"], batch["size_bytes"]):
+                system, inner = fs.FileSystem.from_uri(path)
+                digest, lines, last = hashlib.sha256(), 0, b"\n"
+                with system.open_input_stream(inner, buffer_size=1 << 22) as source:
+                    while block := source.read(1 << 22):
+                        digest.update(block)
+                        lines += block.count(b"\n")
+                        last = block[-1:]
+                rows.append((path, digest.hexdigest(), lines + (last != b"\n") - 1, size))
+            yield pandas.DataFrame(rows, columns=["path", "sha256", "estimated_rows", "size_bytes"])
+
+    return hash_files
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -196,7 +204,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def file_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Path, SHA-256, row count without the header, size; files of any size."""
     return list_files(spark, path).repartition("path").mapInPandas(
-        _hash_files, "path string, sha256 string, estimated_rows bigint, size_bytes bigint"
+        _file_hasher(), "path string, sha256 string, estimated_rows bigint, size_bytes bigint"
     )
 
 
