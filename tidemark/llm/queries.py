@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, licenses, token_counts, warc_zip
+from tidemark.llm import exact_dedup, html_wrappers, licenses, token_counts, toxicity, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,14 @@ FROM q LEFT JOIN f USING (payload_digest)
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc_zip.archive_round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op8_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_wrappers.main_texts(table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
