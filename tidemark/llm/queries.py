@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, html_wrappers, licenses, token_counts, toxicity, warc_zip
+from tidemark.llm import exact_dedup, html_wrappers, licenses, mixing, shards, token_counts, toxicity, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,48 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = html_wrappers.main_texts(table(spark, sf_dir, "pages"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight): 2 for documents labelled good, a half for those labelled bad."""
+    return labels.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).alias("weight"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE END) AS weight FROM labels GROUP BY 1),
+d AS (
+  SELECT d.doc_id, d.source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 'w', 'g'), '[\\x20\\x09-\\x0D]', '', 'g')) AS size,
+         -ln((('0x' || substr(md5('mix|' || d.doc_id), 1, 13))::BIGINT + 1)::DOUBLE / 4503599627370496.0::DOUBLE) / coalesce(l.weight, 1.0::DOUBLE) AS k
+  FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id),
+s AS (SELECT source, sum(size)::HUGEINT AS z FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, sum(z) OVER () AS total FROM s),
+o AS (
+  SELECT *, coalesce(sum(z) OVER p, 0) AS zb, sum(w) OVER () - coalesce(sum(w) OVER p, 0) AS wl
+  FROM w WINDOW p AS (ORDER BY z::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (
+  SELECT *, min(CASE WHEN 200 * z * wl <= w * (150 * total - 200 * zb) THEN 1 ELSE 0 END) OVER (ORDER BY z::DOUBLE / w, source NULLS LAST) = 1 AS full_
+  FROM o),
+t AS (
+  SELECT source, z, CASE WHEN full_ THEN (2 * z)::DOUBLE
+         ELSE (w * (150 * total - 200 * sum(CASE WHEN full_ THEN z ELSE 0 END) OVER ()))::DOUBLE
+              / (100 * sum(CASE WHEN full_ THEN 0 ELSE w END) OVER ())::DOUBLE END AS target FROM f),
+e AS (SELECT *, CASE WHEN z > 0 THEN floor(target)::BIGINT // z ELSE 0 END AS epochs FROM t),
+b AS (
+  SELECT d.doc_id, d.size, e.z, e.target, e.epochs, floor(e.target)::BIGINT - e.epochs * e.z AS left_,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id::VARCHAR, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size::BIGINT AS size, z::BIGINT AS source_size, target,
+       (epochs * size + greatest(0, least(size, left_ - before_)))::BIGINT AS taken FROM b
+""")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    taken = mixing.with_taken(docs, quality_weights(table(spark, sf_dir, "labels")))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shards.shard_rows(table(spark, sf_dir, "documents"), 24)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
