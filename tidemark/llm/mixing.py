@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.spread import offsets, unit
 from tidemark.session import saved
 
-WORDS = r"[^\x20\x09-\x0D]+"
+BETWEEN = r"[\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 50_000
 
 
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")).cast("long")
 
 
 def _source_key(source: Column) -> Column:
