@@ -46,6 +46,7 @@ GROUP_SETS = 4_000
 GROUP_TOKENS = 3_000_000
 BROADCAST_ROWS = 500_000
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MASK = np.uint64((1 << BITS) - 1)
 # any odd numbers with mixed bits will do
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -58,8 +59,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; a text of 1 to 4 words is one shingle."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    """Sorted distinct shingle hashes of each text; a text of 1 to 4 words is one shingle.
+
+    Texts come with A-Z in lower case already.
+    """
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     flat = lists.flatten()
     ends = lists.offsets.to_numpy()
     codes = flat.dictionary_encode()
@@ -359,7 +363,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     and a component of null ids only has none. Rows that repeat are linked like other equal texts.
     """
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    texts = docs.select(ids.alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(ids.alias("id"), F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("text"))
     sent, answered, _ = _exchange(texts, True)
     rows = (
         sent.filter("owner < 0")
