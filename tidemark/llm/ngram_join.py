@@ -387,6 +387,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
         ),
         "named",
     )
-    least = named.filter("n_shingles > 0").groupBy("_root").agg(F.min("doc_id").alias("_least"))
+    # stored, so that the join is between two plain shuffles and Spark can split a large component
+    least = saved(named.filter("n_shingles > 0").groupBy("_root").agg(F.min("doc_id").alias("_least")), "least")
     joined = named.join(least, "_root", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
