@@ -139,6 +139,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("digest", "check")
         .agg(F.min("row").alias("_stays"))
     )
+    stays = saved(stays, "stays")
     found = rows.join(stays, ["digest", "check"]).select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("_stays")).alias("kept"), "digest"
     )
