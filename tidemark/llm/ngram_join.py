@@ -373,7 +373,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
         )
     )
     rows = saved(rows, "document-sets")
-    alive = answered.groupBy("block").applyInPandas(_shared_sets, "digest binary").distinct()
+    alive = saved(answered.groupBy("block").applyInPandas(_shared_sets, "digest binary").distinct(), "alive")
     chosen = saved(rows.join(alive, "digest", "left_semi").groupBy("digest").agg(F.min("id").alias("id")).select("id").distinct(), "chosen")
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     _, answered, owners = _exchange(texts.join(chosen, "id", "left_semi"), False)
