@@ -28,6 +28,7 @@ from tidemark.session import saved
 FINGERPRINT_BITS = 60
 BLOCK_ROWS = 200_000
 OWNER_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 PACKET = (
     "block string, owner int, n int, k int, code binary, rank array<int>, local array<boolean>,"
@@ -126,8 +127,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         "marked",
     )
     suspects = marked.filter("suspect")
+    # known before the texts move: if there are few, no other text is shuffled at all
+    digests = saved(suspects.select("digest").distinct(), "suspect-digests")
+    digests = F.broadcast(digests) if digests.count() <= BROADCAST_ROWS else digests
     groups = (
-        hashed.join(suspects.select("digest").distinct(), "digest", "left_semi")
+        hashed.join(digests, "digest", "left_semi")
         .groupBy("digest", "check", "text")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .drop("text")
