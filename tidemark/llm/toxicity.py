@@ -38,7 +38,7 @@ INSULTS = (
     " dummkopf arschloch trottel vollidiot connard connasse salaud abruti pendejo cabrón gilipollas imbécil"
 )
 THREATS = "kill murder hurt destroy umbringen töten vernichten tuer détruire matar destruir"
-TARGETS = "you your yours u he she they him her them du dich dir euch ihr tu te toi vous tú ti usted ustedes vosotros"
+TARGETS = "you your yours u him her them du dich dir euch ihr tu te toi vous tú ti usted ustedes vosotros"
 NEGATIONS = "not no never isn't aren't don't wasn't nicht kein keine nie pas jamais aucun nunca jamás tampoco"
 REPORTS = (
     "said says say called calls told tells wrote writes quoted sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió"
