@@ -60,7 +60,7 @@ def test_clamp_leaves_nan(spark):
     assert got[:3] == [0.0, 50.0, 100.0] and math.isnan(got[3]) and got[4] == 100.0
 
 
-@pytest.mark.parametrize("value", [0.0, 12.0, 0.1, 1e7, 12345678.9, 123456789012.5, 0.0005, 2.5e-4, 99.99])
+@pytest.mark.parametrize("value", [0.0, 12.0, 0.1, 1e7, 12345678.9, 123456789012.5, 0.0005, 2.5e-4, 99.99, 1e-5, 2.5e-7, 1e-300, 1e16, 1.25e20, -1e-5])
 def test_double_text(spark, value):
     assert column(spark, [value], "double", double_text) == [repr(value)]
 

@@ -32,6 +32,31 @@ def test_typed_columns(spark, tmp_path):
     assert [t for _, t in df.dtypes] == ["bigint", "double", "string", "double"]
 
 
+def test_typed_columns_follow_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "b.csv").write_text("b,a\ny,2\n")
+    (tmp_path / "c.csv").write_text("a\n3\n")
+    df = C.scan_typed_csv(spark, str(tmp_path), ["a", "b"])
+    assert dict(df.dtypes) == {"a": "bigint", "b": "string"}
+    assert sorted(map(tuple, df.collect())) == [(1, "x"), (2, "y"), (3, None)]
+
+
+def test_line_ends_inside_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,t\n1,"line one\nline two"\n2,z\n')
+    (tmp_path / "b.csv").write_text("id,t\n3,plain\n")
+    got = sorted((r["id"], r["t"], r["_row_num"]) for r in C.scan_csv(spark, str(tmp_path)).collect())
+    assert got == [("1", "line one\nline two", 1), ("2", "z", 2), ("3", "plain", 1)]
+
+
+def test_numbers_that_do_not_fit_are_reported(spark):
+    from tidemark.sinks.zones import processed_records
+
+    rows = spark.createDataFrame([(99999999999.5, 5, True, []), (1.0, 3_000_000_000, True, ["x"]), (2.0, 3, True, [])],
+                                 "budget double, team_size long, _is_valid boolean, _validation_errors array<string>")
+    got = [(r["valid"], r["rejected_reason"]) for r in processed_records(rows, F.lit("now")).collect()]
+    assert got == [(False, "budget does not fit decimal(12,2)"), (False, "x; team_size does not fit int"), (True, None)]
+
+
 def test_file_catalog(spark, tmp_path):
     (tmp_path / "x.csv").write_bytes(b"h\n1\n2\n")
     (tmp_path / "y.csv").write_bytes(b"h\n1")

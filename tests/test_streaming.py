@@ -61,3 +61,18 @@ def test_latest_and_summary_over_several_batches(spark, tmp_path):
     counts = stream(spark, source).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     V.keep_summary(counts, str(tmp_path / "s"))
     assert [tuple(r) for r in V.newest(spark, str(tmp_path / "s")).collect()] == [("v", 30)]
+
+
+def test_row_number_rules(spark):
+    texts = ['{"_row_num": null}', '{"_row_num": 3.7}', '{"_row_num": "4"}', '{"_row_num": "3.7"}', '{"a": 1}', '{"_rows": null}', '{"_rows": 2.9}']
+    messages = spark.createDataFrame([(t, 0, i) for i, t in enumerate(texts)], "value string, partition int, offset long")
+    got = [(r["error"], r["row_num"], r["rows"]) for r in I.parse_envelopes(messages).orderBy("offset").collect()]
+    assert got == [("invalid _row_num", 0, 0), (None, 3, 0), (None, 4, 0), ("invalid _row_num", 0, 0), (None, 0, 0), (None, 0, 0), (None, 0, 2)]
+
+
+def test_last_message_of_a_file_wins(spark, tmp_path):
+    env = {"_file_path": "a.csv", "_file_sha256": "s"}
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(spark, source, [(0, {**env, "_rows": 9}), (1, {**env, "_rows": 3})])
+    I.start_ingest(spark.readStream.schema(SCHEMA).parquet(source), out, F.lit("now")).awaitTermination()
+    assert [r["rows"] for r in I.raw_files(spark, out).collect()] == [3]

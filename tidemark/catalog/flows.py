@@ -9,7 +9,7 @@ from tidemark.catalog.nested import OUTER, plans
 from tidemark.catalog.registry import query
 from tidemark.catalog.sources import land_envelopes
 from tidemark.catalog.stock import ALL, STOCK
-from tidemark.catalog.zones import CLEAN, GOALS
+from tidemark.catalog.zones import CLEAN, DOCUMENT, GOALS
 from tidemark.plans import flows as W
 from tidemark.plans.fixtures import AS_OF
 from tidemark.session import scratch
@@ -58,7 +58,11 @@ def zone_run(t):
 
 @query(
     "zone_run_totals",
-    "SELECT count(*) AS records, count(*) AS loaded, count(*) AS curated, 2 * count(*) AS processed_total FROM documents",
+    rf"""WITH {LANDED}, {ZONES}, w AS (SELECT len(string_split(trim(regexp_replace({DOCUMENT}, '\s+', ' ', 'g')), ' ')) AS n FROM v),
+    cuts AS (SELECT CAST(CASE WHEN n > 384 THEN ceil(n / 448.0) ELSE 1 END AS BIGINT) AS chunks FROM w)
+    SELECT count(*) AS records, count(*) AS loaded, CAST(sum(chunks) AS BIGINT) AS curated,
+    CAST(count(*) + sum(chunks) AS BIGINT) AS processed_total FROM cuts""",
+    GOALS,
 )
 def zone_run_totals(t):
     out = scratch(t.spark, "zone_run_totals")

@@ -169,9 +169,7 @@ def normalize_values(t):
     )
 
 
-@query(
-    "goal_documents",
-    f"""WITH {CLEAN} SELECT row_num, source_file, valid, errors, array_to_string(list_filter([
+DOCUMENT = """array_to_string(list_filter([
     CASE WHEN objective <> '' THEN concat('Objective: ', objective) END,
     CASE WHEN department <> '' THEN concat('Department: ', department) END,
     CASE WHEN priority <> '' THEN concat('Priority: ', priority) END,
@@ -179,7 +177,12 @@ def normalize_values(t):
     CASE WHEN quarter <> '' THEN concat('Quarter: ', quarter) END,
     CASE WHEN progress IS NOT NULL THEN concat('Progress: ', CAST(progress AS VARCHAR), '%') END,
     CASE WHEN team_size <> 0 THEN concat('Team Size: ', team_size, ' people') END,
-    CASE WHEN budget <> 0 THEN concat('Budget: $', format('{{:,.2f}}', budget)) END], lambda x: x IS NOT NULL), '. ') AS text,
+    CASE WHEN budget <> 0 THEN concat('Budget: $', format('{:,.2f}', budget)) END], lambda x: x IS NOT NULL), '. ')"""
+
+
+@query(
+    "goal_documents",
+    f"""WITH {CLEAN} SELECT row_num, source_file, valid, errors, {DOCUMENT} AS text,
     department AS label_department, priority AS label_priority, status AS label_status FROM v""",
     GOALS,
 )

@@ -44,11 +44,12 @@ def safe_double(c: Column, low: float | None = None, high: float | None = None)
 
 
 def double_text(c: Column) -> Column:
-    """Shortest text of a double without an exponent between 1e-4 and 1e16."""
-    size = F.abs(c)
-    wide = F.when(size >= 1e7, c.cast("string").try_cast("decimal(38,10)")).otherwise(
-        c.cast("string").try_cast("decimal(38,24)")
-    )
+    """Text of a double as Python prints it: no exponent from 1e-4 up to 1e16, else like ``1e-05``."""
+    size, text = F.abs(c), c.cast("string")
+    wide = F.when(size >= 1e7, text.try_cast("decimal(38,10)")).otherwise(text.try_cast("decimal(38,24)"))
     plain = F.regexp_replace(F.rtrim(wide.cast("string"), F.lit("0")), "\\.$", ".0")
     odd = ((size >= 1e7) & (size < 1e16)) | ((size < 1e-3) & (size >= 1e-4))
-    return F.when(odd, plain).otherwise(c.cast("string"))
+    power = F.regexp_replace(text, "\\.0E", "E")
+    power = F.regexp_replace(F.regexp_replace(power, "E(\\d)", "e+$1"), "E-", "e-")
+    power = F.regexp_replace(power, "e(?<s>[+-])(?<d>\\d)$", "e${s}0${d}")
+    return F.when(odd, plain).when(text.contains("E"), power).otherwise(text)

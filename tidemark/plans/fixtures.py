@@ -30,7 +30,7 @@ SELECT l_orderkey AS objective_id, l_orderkey * 10 + l_linenumber AS key_result_
 FROM {lineitem}""",
     "v_progress_updates": """
 SELECT event_id AS update_id, user_id * 20 + event_id % 20 AS key_result_id,
-       CASE WHEN event_id % 23 = 0 THEN NULL ELSE least(value, 100.0) END AS progress_percentage,
+       CASE WHEN event_id % 23 = 0 THEN NULL ELSE 100.0 * value / (100.0 + value) END AS progress_percentage,
        ts AS update_date, ts AS created_date
 FROM {events}""",
     "v_items": """
@@ -56,7 +56,7 @@ FROM {lineitem} WHERE l_linestatus = 'F'""",
     "v_goal_rows": """
 SELECT doc_id AS row_num, concat('src/', source, '.csv') AS source_file,
        concat('  ', lang, ' ops ') AS department,
-       CASE WHEN doc_id % 10 = 0 THEN 'ab' WHEN doc_id % 10 = 1 THEN '' ELSE substr(text, 1, 40) END AS objective,
+       CASE WHEN doc_id % 10 = 0 THEN 'ab' WHEN doc_id % 10 = 1 THEN '' ELSE text END AS objective,
        CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'hIGH' END AS priority,
        concat('q', CAST(doc_id % 4 + 1 AS VARCHAR(5))) AS quarter,
        CASE WHEN doc_id % 6 = 0 THEN 'n/a' ELSE CAST(doc_id % 6 - 1 AS VARCHAR(5)) END AS team_size,

@@ -22,7 +22,7 @@ def _store(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def run_zones(spark: SparkSession, path: str, out: str, as_of: Column, multi_line: bool = False) -> DataFrame:
+def run_zones(spark: SparkSession, path: str, out: str, as_of: Column, multi_line: bool | None = None) -> DataFrame:
     """CSV files to raw, processed and curated zone below ``out``; returns the run's totals.
 
     One job per zone over all files. The next zone starts from the stored one.

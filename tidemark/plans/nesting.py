@@ -1,9 +1,8 @@
 """Nested plan documents from the flat test tables.
 
-A plan is a customer, a weekly task an order, a daily task a line. A document
-holds at most about ``page_rows`` children per level: the children of a larger
-parent are dealt by hash onto several documents with the same parent, so no
-row of nested data grows with the data.
+A plan is a customer, a weekly task an order, a daily task a line. A document holds the lines that
+one order of a customer ships in one month. That rule follows from the keys alone, so the documents
+of a row do not depend on how many others there are, and no counting pass is needed.
 """
 
 from __future__ import annotations
@@ -13,39 +12,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import iso_text
 
-PAGE_ROWS = 20_000
 
+def nested_plans(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """id, description, createdAt, updatedAt, tasks[id, task, weight, priority, status, planTask[...]].
 
-def _paged(rows: DataFrame, key: str, page_rows: int) -> DataFrame:
-    """Add ``_page``: 0, or a hash page where the key has more than ``page_rows`` rows."""
-    large = (
-        rows.groupBy(F.col(key).alias("_k"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > page_rows)
-        .withColumn("_pages", F.ceil(F.col("_n") / page_rows))
-        .drop("_n")
-    )
-    place = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_pages", F.lit(1)))
-    return (
-        rows.join(large, F.col(key) == F.col("_k"), "left")
-        .withColumn("_page", place)
-        .drop("_k", "_pages")
-        # placed by key and page, or the pages of one key would still meet in one task
-        .repartition(key, "_page")
-    )
-
-
-def nested_plans(
-    customer: DataFrame, orders: DataFrame, lineitem: DataFrame, page_rows: int = PAGE_ROWS
-) -> DataFrame:
-    """id, description, createdAt, updatedAt, tasks[id, task, weight, priority, status, planTask[...]]."""
-    lines = lineitem.select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus", "l_shipdate",
-    )
+    One document per customer, order and ship month; one without lines for an order that has none, and
+    one without tasks for a customer that has no order.
+    """
     daily = (
-        _paged(lines, "l_orderkey", page_rows)
-        .groupBy("l_orderkey", "_page")
+        lineitem.withColumn("_month", F.trunc("l_shipdate", "month"))
+        .groupBy("l_orderkey", "_month")
         .agg(
             F.collect_list(
                 F.struct(
@@ -59,42 +35,21 @@ def nested_plans(
                 )
             ).alias("planTask")
         )
-        .withColumnRenamed("_page", "_line_page")
     )
     tasks = _with_parent(daily, lineitem, "l_orderkey", orders, "o_orderkey", "planTask").select(
         "o_custkey",
-        "o_orderkey",
-        "_line_page",
-        F.struct(
-            F.col("o_orderkey").alias("id"),
-            F.concat(F.lit("order "), F.col("o_orderkey")).alias("task"),
-            F.col("o_totalprice").alias("weight"),
-            F.col("o_orderpriority").alias("priority"),
-            F.col("o_orderstatus").alias("status"),
-            "planTask",
-        ).alias("t"),
-    )
-    # The page of a task depends on its keys only; the nested lines stay out of the hash.
-    large = (
-        orders.groupBy(F.col("o_custkey").alias("_k"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > page_rows)
-        .select("_k", F.ceil(F.col("_n") / page_rows).alias("_pages"))
-    )
-    paged = (
-        tasks.join(large, F.col("o_custkey") == F.col("_k"), "left")
-        .withColumn(
-            "_page",
-            # a further page of a large task is a document of its own
-            F.when(F.col("_line_page") > 0, F.xxhash64("o_orderkey", "_line_page")).otherwise(
-                F.pmod(F.xxhash64("o_orderkey"), F.coalesce("_pages", F.lit(1)))
-            ),
-        )
-        .repartition("o_custkey", "_page")
-        .groupBy("o_custkey", "_page")
-        .agg(F.collect_list("t").alias("tasks"))
+        F.array(
+            F.struct(
+                F.col("o_orderkey").alias("id"),
+                F.concat(F.lit("order "), F.col("o_orderkey")).alias("task"),
+                F.col("o_totalprice").alias("weight"),
+                F.col("o_orderpriority").alias("priority"),
+                F.col("o_orderstatus").alias("status"),
+                "planTask",
+            )
+        ).alias("tasks"),
     )
-    return _with_parent(paged, orders, "o_custkey", customer, "c_custkey", "tasks").select(
+    return _with_parent(tasks, orders, "o_custkey", customer, "c_custkey", "tasks").select(
         F.col("c_custkey").alias("id"),
         F.col("c_name").alias("description"),
         F.lit("2001-01-01T00:00:00").alias("createdAt"),

@@ -8,8 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Skewed joins are split at run time even when the split costs one more
-# shuffle; post-shuffle partitions are sized by bytes, not by a fixed count.
+# Skewed joins are split at run time even when the split costs one more shuffle. Partitions after
+# a shuffle are merged up to the advisory size, but never split: see shuffle_partitions.
+PARTITION_BYTES = 128 << 20
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -23,12 +24,25 @@ DEFAULTS = {
 }
 
 
-def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings the jobs are written for; ``conf`` overrides."""
+def shuffle_partitions(input_bytes: int) -> int:
+    """Partitions a shuffle starts with, so that one of ``input_bytes`` has 128 MB in each."""
+    return max(200, -(-input_bytes // PARTITION_BYTES))
+
+
+def build_session(
+    app: str = "tidemark", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """Session with the settings the jobs are written for; ``conf`` overrides.
+
+    ``input_bytes`` is what the largest job reads; without it Spark's own partition count holds.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    sized = {}
+    if input_bytes is not None:
+        sized["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(shuffle_partitions(input_bytes))
+    for key, value in {**DEFAULTS, **sized, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

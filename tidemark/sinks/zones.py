@@ -35,8 +35,12 @@ def upsert_latest(rows: DataFrame, keys: list[str], newest: list[str]) -> DataFr
 
 
 def file_rows(rows: DataFrame) -> DataFrame:
-    """``files`` zone table: the last row count and time of each (path, sha256), with its id."""
-    latest = upsert_latest(rows, ["path", "sha256"], ["ingested_at"])
+    """``files`` zone table: the last row count and time of each (path, sha256), with its id.
+
+    Of equal times the last message wins, where rows carry their partition and offset.
+    """
+    newest = [c for c in ("ingested_at", "partition", "offset") if c in rows.columns]
+    latest = upsert_latest(rows, ["path", "sha256"], newest)
     return latest.withColumn("file_id", file_id(F.col("path"), F.col("sha256")))
 
 
@@ -56,13 +60,23 @@ def raw_records(df: DataFrame, file: Column, row_num: Column, loaded_at: Column)
 
 
 def processed_records(validated: DataFrame, processed_at: Column) -> DataFrame:
-    """The 16 processed columns; absent fields are null, rejection reasons are joined."""
+    """The 16 processed columns; absent fields are null, rejection reasons are joined.
+
+    A value that its column cannot hold is null there, and the row is not valid: it gets a reason.
+    """
     have = set(validated.columns)
-    errors = F.array_join("_validation_errors", "; ") if "_validation_errors" in have else F.lit("")
+    found = F.col("_validation_errors") if "_validation_errors" in have else F.array().cast("array<string>")
+    misfits = [
+        F.when(F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull(), F.lit(f"{name} does not fit {kind}"))
+        for name, kind in PROCESSED.items()
+        if kind != "string" and name in have
+    ]
+    lost = F.filter(F.array(*misfits), lambda x: x.isNotNull()) if misfits else F.array().cast("array<string>")
+    errors = F.array_join(F.concat(F.coalesce(found, F.array().cast("array<string>")), lost), "; ")
     known = {
         "source_file_id": F.col("file_id") if "file_id" in have else F.lit(None),
         "source_row_num": F.col("row_num") if "row_num" in have else F.lit(None),
-        "valid": F.coalesce("_is_valid", F.lit(True)) if "_is_valid" in have else F.lit(True),
+        "valid": (F.coalesce("_is_valid", F.lit(True)) if "_is_valid" in have else F.lit(True)) & (F.size(lost) == 0),
         "rejected_reason": F.nullif(errors, F.lit("")),
         "original_payload": payload_json(validated),
         "processed_at": processed_at,

@@ -12,13 +12,14 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numbers import parse_double
 from tidemark.functions.text import base_name, blank_to_null, strip
+from tidemark.session import saved
 
 # Separators that are looked for, most likely first.
 SEPARATORS = [",", ";", "\t", "|"]
 
 
 def describe_files(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: encoding, separator and header line. Files without text are left out.
+    """Per file: encoding, separator, header line and whether quotes span lines; not those without text.
 
     One pass over the text: a file with any byte sequence that is not UTF-8 is
     read as ISO-8859-1 as a whole, and its separator is the most frequent
@@ -32,9 +33,12 @@ def describe_files(spark: SparkSession, path: str) -> DataFrame:
         ).alias("at"),
     )
     ascii_blank = F.trim("value") == ""
+    odd_quotes = (F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
     files = lines.groupBy("path").agg(
         F.when(F.bool_and(F.is_valid_utf8("value")), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
         F.min_by("value", F.when(~ascii_blank, F.col("at"))).alias("header"),
+        # a line with an odd number of quotes begins or ends a cell of several lines
+        F.bool_or(odd_quotes).alias("multi_line"),
     )
     counts = [
         F.struct(
@@ -108,27 +112,37 @@ def scan_layout(
     )
 
 
-def scan_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """All CSV files below ``path`` as trimmed text columns, whatever their layout.
+def _layouts(spark: SparkSession, path: str) -> list[tuple[list[str], str, str, bool, str | list[str]]]:
+    """(names, separator, encoding, multi_line, what to read) of each layout below ``path``.
 
-    Files are grouped by (encoding, separator, header); each group is one scan.
-    Where all files share a layout the path is read as it is; else each scan gets
-    the list of its files, which the driver holds for any scan.
-    ``multi_line`` allows line ends inside quotes; such files are not split.
+    The files are described once. Where all share a layout the path is read as it is; else the driver
+    holds the list of files, as it does for any scan.
     """
-    files = describe_files(spark, path)
-    key = ["encoding", "separator", "header"]
-    layouts = files.select(*key).distinct().orderBy("header", "separator", "encoding").collect()
+    key = ["encoding", "separator", "header", "multi_line"]
+    files = saved(describe_files(spark, path), "csv-files")
+    layouts = files.select(*key).distinct().orderBy("header", "separator", "encoding", "multi_line").collect()
     if not layouts:
         raise FileNotFoundError(f"no CSV lines below {path}")
-    parts = []
-    for layout in layouts:
-        read = path
-        if len(layouts) > 1:
-            same = [F.col(k).eqNullSafe(F.lit(layout[k])) for k in key]
-            read = [unquote(r["path"]) for r in files.filter(same[0] & same[1] & same[2]).select("path").toLocalIterator()]
-        names = _names(layout["header"], layout["separator"])
-        parts.append(scan_layout(spark, read, names, layout["separator"], layout["encoding"], multi_line))
+    found: dict[tuple, list[str]] = {}
+    if len(layouts) > 1:
+        for row in files.toLocalIterator():
+            found.setdefault(tuple(row[k] for k in key), []).append(unquote(row["path"]))
+    return [
+        (_names(x["header"], x["separator"]), x["separator"], x["encoding"], x["multi_line"], found.get(tuple(x), path))
+        for x in layouts
+    ]
+
+
+def scan_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """All CSV files below ``path`` as trimmed text columns, whatever their layout.
+
+    Files are grouped by (encoding, separator, header); each group is one scan. Files with line ends
+    inside quotes are found and read whole, the others are split; ``multi_line`` sets it for all.
+    """
+    parts = [
+        scan_layout(spark, read, names, separator, encoding, spans if multi_line is None else multi_line)
+        for names, separator, encoding, spans, read in _layouts(spark, path)
+    ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -137,12 +151,17 @@ def _digits(c: Column) -> Column:
 
 
 def scan_typed_csv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """CSV with a known header; each column gets the narrowest type all its cells fit.
+    """Columns ``names`` of CSV files; each column gets the narrowest type all its cells fit.
 
-    Digits are whole numbers, other number texts are doubles, the empty text is null.
+    Cells are taken by the header of their file; a file without a column has nulls there. Digits are whole
+    numbers, other number texts are doubles, the empty text is null.
     """
-    raw = _reader(spark, ",", "UTF-8", False).schema(_text_schema(names)).csv(path)
-    raw = raw.select(*[blank_to_null(F.col(f"`{n}`")).alias(n) for n in names])
+    parts = []
+    for own, separator, encoding, spans, read in _layouts(spark, path):
+        rows = _reader(spark, separator, encoding, spans).schema(_text_schema(own)).csv(read)
+        cells = [F.col(f"`{n}`") if n in own else F.lit(None).cast("string") for n in names]
+        parts.append(rows.select(*[blank_to_null(c).alias(n) for c, n in zip(cells, names)]))
+    raw = reduce(DataFrame.unionByName, parts)
     checks = []
     for n in names:
         c = F.col(f"`{n}`")

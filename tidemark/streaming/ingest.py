@@ -34,14 +34,20 @@ def parse_envelopes(messages: DataFrame) -> DataFrame:
         return F.col(f"_e.{name}")
 
     def number(name: str) -> Column:
-        return F.coalesce(field(name).try_cast("bigint"), F.lit(0))
-
-    def broken(name: str) -> Column:
-        bad = field(name).isNotNull() & field(name).try_cast("bigint").isNull()
-        return F.when(bad, f"invalid {name}")
+        # a JSON number loses its fraction, a text has to be a whole number
+        value = F.col("_fields")[name]
+        fraction = F.schema_of_variant(value).rlike("^(DECIMAL|DOUBLE|FLOAT)")
+        return F.when(fraction, F.try_variant_get(value, "$", "double").try_cast("bigint")).otherwise(
+            field(name).try_cast("bigint")
+        )
+
+    # a row number that is given has to be one; no, empty or null _rows count as 0
+    rows = F.when(F.coalesce(field("_rows"), F.lit("")) == "", F.lit(0)).otherwise(number("_rows"))
+    given = F.coalesce(F.map_contains_key("_fields", F.lit("_row_num")), F.lit(False))
+    row_num = F.when(given, number("_row_num")).otherwise(F.lit(0))
 
     error = F.when(F.col("_fields").isNull(), "invalid json").otherwise(
-        F.coalesce(broken("_row_num"), broken("_rows"))
+        F.when(row_num.isNull(), "invalid _row_num").when(rows.isNull(), "invalid _rows")
     )
     payload = F.to_json(F.map_filter("_fields", lambda k, v: ~k.startswith("_")))
     # an empty path counts as not set, an empty source does not
@@ -53,8 +59,8 @@ def parse_envelopes(messages: DataFrame) -> DataFrame:
         file_id(path, sha).alias("file_id"),
         path.alias("path"),
         sha.alias("sha256"),
-        number("_rows").alias("rows"),
-        number("_row_num").alias("row_num"),
+        F.coalesce(rows, F.lit(0)).cast("bigint").alias("rows"),
+        F.coalesce(row_num, F.lit(0)).cast("bigint").alias("row_num"),
         payload.alias("payload"),
         error.alias("error"),
         F.when(error.isNotNull(), F.col("value")).alias("value"),
@@ -74,7 +80,7 @@ def write_batch(messages: DataFrame, batch: int, out: str, at: Column) -> None:
     split = rows.withColumn("ok", F.col("error").isNull().cast("int"))
     split.write.mode("overwrite").partitionBy("ok").parquet(folder)
     good = spark.read.schema(f"{STORED}, ok INT").parquet(folder).filter("ok = 1")
-    stamped = good.select("path", "sha256", "rows", F.col("loaded_at").alias("ingested_at"))
+    stamped = good.select("path", "sha256", "rows", F.col("loaded_at").alias("ingested_at"), "partition", "offset")
     file_rows(stamped).write.mode("overwrite").parquet(f"{out}/files/batch={batch}")
 
 
@@ -91,7 +97,7 @@ def start_ingest(messages: DataFrame, out: str, at: Column) -> StreamingQuery:
 def raw_files(spark: SparkSession, out: str) -> DataFrame:
     """Current files table: the last row of each file over all batches."""
     log = spark.read.parquet(f"{out}/files").drop("batch", "file_id")
-    return file_rows(log)
+    return file_rows(log).drop("partition", "offset")
 
 
 def _messages(spark: SparkSession, out: str, ok: int) -> DataFrame:
