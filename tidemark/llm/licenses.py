@@ -7,21 +7,24 @@ documents and whole lines of them are looked up, so a notice on a line of its ow
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Spellings that mean the same, and their common form.
+# Spellings that mean the same, and their common form; in front, what all of them contain.
 SPELLINGS = [
-    (r"(^| )(licence|licences|licenses)( |$)", "$1license$3"),
-    (r"(^| )licenced( |$)", "$1licensed$2"),
-    (r"(^| )(version|v) ([0-9])", "$1v$3"),
-    (r"(^| )this (work|software|program|project|text) is ", "$1"),
-    (r"(^| )(licensed|released|distributed|published|available) under (the )?(terms of )?(the )?", "$1licensed under "),
-    (r"(^| )gnu general public license( |$)", "$1gpl$2"),
-    (r"(^| )creative commons attribution noncommercial( |$)", "$1cc by nc$2"),
-    (r"(^| )creative commons attribution( |$)", "$1cc by$2"),
+    ("licen", r"(^| )(licence|licences|licenses)( |$)", "$1license$3"),
+    ("licenced", r"(^| )licenced( |$)", "$1licensed$2"),
+    ("v", r"(^| )(version|v) ([0-9])", "$1v$3"),
+    (" is ", r"(^| )this (work|software|program|project|text) is ", "$1"),
+    (" under ", r"(^| )(licensed|released|distributed|published|available) under (the )?(terms of )?(the )?", "$1licensed under "),
+    ("gnu general", r"(^| )gnu general public license( |$)", "$1gpl$2"),
+    ("creative commons", r"(^| )creative commons attribution noncommercial( |$)", "$1cc by nc$2"),
+    ("creative commons", r"(^| )creative commons attribution( |$)", "$1cc by$2"),
 ]
-COPYRIGHT_LINE = r"(?im)^[^\p{L}\p{N}\n]*(copyright |\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_MARKS = ["copyright ", "(c)", "©", "all rights reserved"]
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright |\(c\)|©|all rights reserved)[^\n]*$"
 
 # Known licences and notices.
 KNOWN = [
@@ -49,15 +52,35 @@ OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
 ]
 
 
+def _where(text: Column, contained: list[str], pattern: str, plain: str) -> Column:
+    """Replace a pattern in texts that contain one of ``contained``; there is no match in others.
+
+    A plain search is much cheaper than the pattern. The text is an element of a list, so that it is
+    worked out once and not for each time it is named.
+    """
+
+    def replaced(t: Column) -> Column:
+        found = reduce(Column.__or__, [F.contains(t, F.lit(x)) for x in contained])
+        return F.when(found, F.regexp_replace(t, pattern, plain)).otherwise(t)
+
+    return F.get(F.transform(F.array(text), replaced), F.lit(0))
+
+
 def canonical(text: Column) -> Column:
     """Lower-case words of a text in their common spelling, one blank between them."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, "")
-    text = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    for pattern, plain in SPELLINGS:
-        text = F.regexp_replace(text, pattern, plain)
+    text = F.lower(F.coalesce(text, F.lit("")))
+    text = _where(text, COPYRIGHT_MARKS, COPYRIGHT_LINE, "")
+    text = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+    for contained, pattern, plain in SPELLINGS:
+        text = _where(text, [contained], pattern, plain)
     return text
 
 
+def _digest(text: Column) -> Column:
+    """Digest that is never null, so that a join on it needs no filter that works it out again."""
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
+
+
 def known_digests(known: DataFrame) -> DataFrame:
     """(digest, license_id): canonical digest of each known text; the first id of equal ones."""
     return (
@@ -93,7 +116,7 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     ).withColumn("_sha", F.sha2("text", 256))
     lines = (
         rows.select("doc_id", "_sha", F.posexplode_outer(F.split("text", "\n")).alias("_at", "_line"))
-        .withColumn("digest", F.sha2(canonical(F.col("_line")), 256))
+        .withColumn("digest", _digest(canonical(F.col("_line"))))
         .join(digests, "digest")
         .groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "_sha")
         .agg(F.countDistinct("_at").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices"))

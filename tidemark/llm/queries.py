@@ -52,9 +52,9 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _canonical_sql(text: str) -> str:
     """The canonical form of ``licenses`` in DuckDB's dialect."""
-    out = f"regexp_replace({text}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
-    out = f"trim(regexp_replace(lower({out}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-    for pattern, plain in licenses.SPELLINGS:
+    out = f"regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', '', 'g')"
+    out = f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    for _, pattern, plain in licenses.SPELLINGS:
         out = f"regexp_replace({out}, '{pattern}', '{plain.replace('$', chr(92))}', 'g')"
     return out
 
