@@ -34,7 +34,7 @@ def test_token_counts_equal_the_library(spark, docs):
 
 def test_shards_are_even_and_gapless(spark, docs):
     got = rows(spark, "op9_sharding")
-    assert Counter(r["doc_id"] for r in got) == Counter(docs)
+    assert Counter(r["doc_id"] for r in got) == Counter(docs.keys())
     slots = {}
     for r in got:
         data = (docs[r["doc_id"]]["text"] or "").encode()

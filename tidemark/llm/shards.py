@@ -21,6 +21,7 @@ from tidemark.session import saved
 
 OVERHEAD = 8
 ROUNDS = 10
+BROADCAST_GROUPS = 100_000
 
 
 def _pick(values: list[int], at: Column) -> Column:
@@ -127,6 +128,8 @@ def shard_rows(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) -> DataF
         ),
         "shard-groups",
     )
+    # a few groups reach the rows without moving these; else a large group's rows are split by Spark
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
     loads = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
 
     # linked rows: rank in the group, by parts of a large group
@@ -151,7 +154,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) -> DataF
     # the rest: rank among all of it, cut into what each shard still takes
     spare = with_cell.filter("_cell is null").select(*base.columns)
     single = base.join(groups.select("group"), "group", "left_anti").unionByName(spare)
-    single = single.withColumn("_b", F.pmod(F.xxhash64("group", "doc_id"), F.lit(_root(total))))
+    single = single.withColumn("_b", F.pmod(F.xxhash64("group", "doc_id"), F.lit(4 * _root(total))))
     before = offsets(single, [], "_b", F.lit(1)).select("_b", "before")
     in_bucket = Window.partitionBy("_b").orderBy("group", "doc_id")
     ranked = single.withColumn("_number", F.row_number().over(in_bucket) - 1).join(before, "_b")
