@@ -40,8 +40,8 @@ from tidemark.session import saved
 
 WORDS = 5
 BITS = 52
-BLOCK_TOKENS = 2_000_000
-OWNER_BYTES = 24 << 20
+BLOCK_TOKENS = 1_000_000
+OWNER_BYTES = 12 << 20
 GROUP_SETS = 4_000
 GROUP_TOKENS = 3_000_000
 BROADCAST_ROWS = 500_000
@@ -374,7 +374,9 @@ def similar_components(docs: DataFrame) -> DataFrame:
     )
     rows = saved(rows, "document-sets")
     alive = saved(answered.groupBy("block").applyInPandas(_shared_sets, "digest binary").distinct(), "alive")
-    chosen = saved(rows.join(alive, "digest", "left_semi").groupBy("digest").agg(F.min("id").alias("id")).select("id").distinct(), "chosen")
+    # classes are counted first, so that a large one meets the join as one row
+    classes = rows.groupBy("digest").agg(F.min("id").alias("id"))
+    chosen = saved(classes.join(alive, "digest", "left_semi").select("id").distinct(), "chosen")
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     _, answered, owners = _exchange(texts.join(chosen, "id", "left_semi"), False)
     sets = saved(answered.groupBy("block").applyInPandas(_ordered_sets(owners), SETS).dropDuplicates(["digest"]), "sets")
