@@ -67,3 +67,20 @@ def test_null_object_gives_null_fields(spark):
     flat = N.flatten_assets(df)
     assert "department" not in flat.columns and flat.columns[:3] == ["id", "is_fixed_asset", "store_id"]
     assert rows(flat.select("id", "store_store_name")) == [(1, None), (2, "s")]
+
+
+def test_plan_files_of_all_shapes(spark, tmp_path):
+    """A list, an envelope, one plan, and what is none of them."""
+    from tidemark.plans.flows import run_plan_search, run_plans
+
+    (tmp_path / "in").mkdir()
+    plan = '{"id": %d, "description": "p", "tasks": [{"id": 1, "task": "t", "planTask": [{"id": 5, "task": "d"}]}]}'
+    texts = [f"[{plan % 1}]", '{"data": [%s]}' % (plan % 2), plan % 3, '{"data": []}', '{"id": 4, "tas', '"x"', ""]
+    for i, text in enumerate(texts):
+        (tmp_path / "in" / f"{i}.json").write_text(text)
+    rows = run_plans(spark, str(tmp_path / "in"), str(tmp_path / "out"), F.lit("now")).collect()
+    assert sorted((r["weekly_plan_id"], r["daily_task_id"]) for r in rows) == [(1, 5), (2, 5), (3, 5)]
+    (tmp_path / "in" / "8.json").write_text('{"results": [%s]}' % (plan % 9))
+    rows = run_plan_search(spark, str(tmp_path / "in"), str(tmp_path / "found")).collect()
+    # the tasks of a bare plan are found under a root key and so are its records
+    assert sorted((r["weekly_plan_id"], r["daily_task_id"]) for r in rows) == [(1, 5), (2, 5), (9, 5)]

@@ -141,6 +141,21 @@ def test_run_of_the_zones(spark, tmp_path):
     assert all(d["source"].rsplit("#")[-1] in ("1", "2") for d in docs)
 
 
+def test_user_columns_with_the_names_of_row_metadata(spark, tmp_path):
+    from tidemark.plans.flows import run_zones
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text('row_num,file_id,source_file,objective\n7,f,s,"two\nlines"\n')
+    out = str(tmp_path / "out")
+    run_zones(spark, str(tmp_path / "in"), out, F.lit("now"))
+    row = spark.read.parquet(f"{out}/processed/records_clean").first()
+    payload = json.loads(row["original_payload"])
+    assert {k: payload[k] for k in ("row_num", "file_id", "source_file")} == {"row_num": "7", "file_id": "f", "source_file": "s"}
+    assert payload["objective"] == "two\nlines" and row["source_row_num"] == 1 and len(row["source_file_id"]) == 64
+    meta = json.loads(spark.read.parquet(f"{out}/curated/documents").first()["meta"])
+    assert meta["row_num"] == 1 and meta["source_file"].endswith("a.csv") and meta["original_fields"]["row_num"] == "7"
+
+
 def test_workers_do_not_need_the_package(tmp_path):
     import subprocess
     import sys

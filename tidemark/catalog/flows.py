@@ -17,29 +17,22 @@ from tidemark.sinks.messages import write_table
 from tidemark.sources import csv_files as C
 from tidemark.sources.json_docs import scan_envelopes
 
-_FLAT = r"regexp_replace(objective, '\s+', ' ', 'g')"
-
-
 def land_goal_csv(t, name):
-    """Goal rows as CSV with short column names; line ends in texts become blanks."""
+    """Goal rows as CSV with short column names and a ``row_num`` of their own; texts keep their line ends."""
     path = scratch(t.spark, name)
     rows = t.goal_rows.select(
-        F.col("row_num").alias("goal"),
+        "row_num",
         F.col("department").alias("dept"),
-        F.regexp_replace("objective", r"\s+", " ").alias("obj"),
+        F.col("objective").alias("obj"),
         "priority", "quarter", "team_size", "budget", "progress", "status",
     )
     write_table(rows, path, "csv")
     return path
 
 
-ZONES = CLEAN.replace("FROM v_goal_rows)", "FROM landed)")
-LANDED = f"landed AS (SELECT * REPLACE ({_FLAT} AS objective) FROM v_goal_rows)"
-
-
 @query(
     "zone_run",
-    f"""WITH {LANDED}, {ZONES} SELECT CAST(row_num AS VARCHAR) AS goal, department, objective, priority, quarter,
+    f"""WITH {CLEAN} SELECT CAST(row_num AS VARCHAR) AS row_num, department, objective, priority, quarter,
     CAST(team_size AS INTEGER) AS team_size, budget, progress, status, valid, nullif(errors, '') AS rejected_reason FROM v""",
     GOALS,
 )
@@ -49,7 +42,7 @@ def zone_run(t):
     W.run_zones(t.spark, land_goal_csv(t, "zone_run_in"), out, F.lit(AS_OF))
     stored = t.spark.read.parquet(f"{out}/processed/records_clean")
     return stored.select(
-        F.get_json_object("original_payload", "$.goal").alias("goal"),
+        F.get_json_object("original_payload", "$.row_num").alias("row_num"),
         "department", "objective", "priority", "quarter", "team_size",
         F.col("budget").cast("double").alias("budget"), F.col("progress").cast("double").alias("progress"),
         "status", "valid", "rejected_reason",
@@ -58,7 +51,7 @@ def zone_run(t):
 
 @query(
     "zone_run_totals",
-    rf"""WITH {LANDED}, {ZONES}, w AS (SELECT len(string_split(trim(regexp_replace({DOCUMENT}, '\s+', ' ', 'g')), ' ')) AS n FROM v),
+    rf"""WITH {CLEAN}, w AS (SELECT len(string_split(trim(regexp_replace({DOCUMENT}, '\s+', ' ', 'g')), ' ')) AS n FROM v),
     cuts AS (SELECT CAST(CASE WHEN n > 384 THEN ceil(n / 448.0) ELSE 1 END AS BIGINT) AS chunks FROM w)
     SELECT count(*) AS records, count(*) AS loaded, CAST(sum(chunks) AS BIGINT) AS curated,
     CAST(count(*) + sum(chunks) AS BIGINT) AS processed_total FROM cuts""",
@@ -135,6 +128,31 @@ def plan_run(t):
     return W.run_plans(t.spark, folder, out, F.lit(AS_OF), per_line=True)
 
 
+def _plan_lines(t, name, doc):
+    """Plan documents as JSON, one per line."""
+    folder = scratch(t.spark, name)
+    plans(t).select(F.to_json(doc).alias("value")).write.text(folder)
+    return folder
+
+
+@query("plan_run_bare", f"WITH {OUTER} SELECT * FROM o")
+def plan_run_bare(t):
+    """Documents that are one plan each."""
+    folder = _plan_lines(t, "plan_run_bare_in", F.struct("*"))
+    return W.run_plans(t.spark, folder, scratch(t.spark, "plan_run_bare"), F.lit(AS_OF), per_line=True)
+
+
+@query(
+    "plan_run_search",
+    f"""WITH {OUTER} SELECT nullif(weekly_plan_id, 0) AS weekly_plan_id, weekly_plan_desc, weekly_task_id, weekly_task_name, weekly_task_weight, weekly_task_priority,
+    daily_task_id, daily_task_name, daily_task_weight, daily_task_priority FROM o WHERE daily_task_id IS NOT NULL""",
+)
+def plan_run_search(t):
+    """Documents with their plans under another root key."""
+    folder = _plan_lines(t, "plan_run_search_in", F.struct(F.array(F.struct("*")).alias("weeklyPlans")))
+    return W.run_plan_search(t.spark, folder, scratch(t.spark, "plan_run_search"), per_line=True)
+
+
 @query("file_catalog", "SELECT count(*) AS rows FROM customer")
 def file_catalog(t):
     """Row counts of the catalogued files of one table add up to the table."""

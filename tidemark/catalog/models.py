@@ -263,19 +263,39 @@ def metric_history(t):
     return t.spark.read.parquet(path)
 
 
+_CELLS = ", ".join(f"count(*) FILTER (y_true = {a} AND y_pred = {b}) AS n_{a}{b}" for a in (0, 1) for b in (0, 1))
+_CLASSES = ", ".join(
+    f"(SELECT round({c}, 6) FROM f WHERE class = {k}) AS {n}_{k}"
+    for k in (0, 1)
+    for c, n in (("p", "precision"), ("r", "recall"), ("f1", "f1"))
+)
+
+
 @query(
     "evaluation_json",
-    f"""WITH {METRICS} SELECT 'labels' AS model_name, accuracy, precision, recall, f1_score FROM w""",
+    f"""WITH {METRICS}, {AUC}, x AS (SELECT {_CELLS} FROM v_binary_labels)
+    SELECT 'labels' AS model_name, w.*, auc.roc_auc, x.*, {_CLASSES} FROM w, auc, x""",
     ("v_binary_labels",),
 )
 def evaluation_json(t):
-    """The result as a JSON document, read back."""
+    """The whole result as a JSON document, read back."""
     path = scratch(t.spark, "evaluation_json")
-    scores = rounded(E.classification_metrics(t.binary_labels), *_FOUR)
-    scores.withColumn("model_name", F.lit("labels")).write.json(path)
-    return t.spark.read.schema(
-        "model_name STRING, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1_score DOUBLE"
+    E.evaluation(t.binary_labels).withColumn("model_name", F.lit("labels")).write.json(path)
+    part = "struct<precision: DOUBLE, recall: DOUBLE, f1: DOUBLE>"
+    read = t.spark.read.schema(
+        "model_name STRING, accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1_score DOUBLE, roc_auc DOUBLE, "
+        f"confusion_matrix array<array<BIGINT>>, per_class map<STRING, {part}>"
     ).json(path)
+    return rounded(
+        read.select(
+            "model_name",
+            *_FOUR,
+            "roc_auc",
+            *[F.col("confusion_matrix")[a][b].alias(f"n_{a}{b}") for a in (0, 1) for b in (0, 1)],
+            *[F.col("per_class")[str(c)][m].alias(f"{m}_{c}") for c in (0, 1) for m in ("precision", "recall", "f1")],
+        ),
+        *_FOUR, "roc_auc", *[f"{m}_{c}" for c in (0, 1) for m in ("precision", "recall", "f1")],
+    )
 
 
 _CUT = "TIMESTAMP '1998-01-01 00:00:00'"

@@ -155,6 +155,29 @@ def incremental_scan(t):
     return TB.incremental_scan(t.objectives, TB.GOAL_COLUMNS, "updated_date", moment(AS_OF))
 
 
+@query(
+    "incremental_key_results",
+    f"""SELECT key_result_id, objective_id, target_value, current_value, status, progress_percentage, due_date AS updated_date, due_date
+    FROM v_key_results WHERE due_date >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY""",
+    ("v_key_results",),
+)
+def incremental_key_results(t):
+    """Key results changed since the day before; the fixture's change date is the due date."""
+    rows = t.key_results.withColumn("updated_date", F.col("due_date"))
+    return TB.incremental_scan(rows, TB.KEY_RESULT_COLUMNS, "updated_date", moment(AS_OF))
+
+
+@query(
+    "incremental_updates",
+    """SELECT update_id, key_result_id, progress_percentage, update_date, created_date FROM v_progress_updates
+    WHERE update_date >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 7 DAY""",
+    ("v_progress_updates",),
+)
+def incremental_updates(t):
+    """Updates of the week before a moment, and since."""
+    return TB.incremental_scan(t.progress_updates, TB.UPDATE_COLUMNS, "update_date", moment("2024-01-20 12:00:00"), 7)
+
+
 EVENT = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 

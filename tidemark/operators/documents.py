@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numbers import double_text
 from tidemark.functions.text import strip, words
-from tidemark.operators.rules import payload_columns
+from tidemark.operators.rules import payload_columns, row_column
 
 # Label of each text part, in the order of the text.
 TEXT_PARTS = [
@@ -49,8 +49,8 @@ def goal_documents(validated: DataFrame, as_of: Column) -> DataFrame:
     )
     errors = F.col("_validation_errors")
     meta = F.struct(
-        F.col("source_file"),
-        F.col("row_num"),
+        F.col(row_column(validated, "source_file")).alias("source_file"),
+        F.col(row_column(validated, "row_num")).alias("row_num"),
         F.col("_is_valid").alias("is_valid"),
         as_of.alias("processed_at"),
         F.struct(*payload_columns(validated)).alias("original_fields"),

@@ -75,6 +75,29 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     return placed.agg(_ratio(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
+def evaluation(scored: DataFrame) -> DataFrame:
+    """The whole evaluation in one row: metrics, AUC, confusion matrix and per-class part.
+
+    The matrix has a row per true and a column per predicted class, classes in order.
+    """
+    cells = F.collect_list(F.struct("y_true", "y_pred", "n"))  # one per pair of classes
+    seen = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("y_true", "y_pred")))))
+
+    def count_of(a: Column, b: Column) -> Column:
+        cell = F.get(F.filter("_cells", lambda c: (c["y_true"] == a) & (c["y_pred"] == b)), F.lit(0))
+        return F.coalesce(cell["n"], F.lit(0).cast("bigint"))
+
+    matrix = confusion_matrix(scored).agg(cells.alias("_cells"), seen.alias("_classes")).select(
+        F.transform("_classes", lambda a: F.transform("_classes", lambda b: count_of(a, b)))
+    )
+    classes = per_class_metrics(scored).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("class").cast("string"), F.struct("precision", "recall", "f1"))))
+    )
+    return classification_metrics(scored).withColumns(
+        {"roc_auc": roc_auc(scored).scalar(), "confusion_matrix": matrix.scalar(), "per_class": classes.scalar()}
+    )
+
+
 def _moments(df: DataFrame, columns: list[str], side: str) -> DataFrame:
     """(feature, mean, std) from one pass over the rows."""
     one = df.agg(

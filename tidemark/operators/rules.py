@@ -49,8 +49,16 @@ META = ["row_num", "source_file", "file_id"]
 
 
 def payload_columns(df: DataFrame) -> list[str]:
-    """Columns that are data: neither row metadata nor names that start with ``_``."""
-    return [c for c in df.columns if c not in META and not c.startswith("_")]
+    """Columns that are data: neither row metadata nor names that start with ``_``.
+
+    Where the metadata is in columns that start with ``_``, its plain names are data like others.
+    """
+    return [c for c in df.columns if c != row_column(df, c) or (c not in META and not c.startswith("_"))]
+
+
+def row_column(df: DataFrame, name: str) -> str:
+    """Name of a metadata column: with ``_`` in front where there is one."""
+    return f"_{name}" if name in META and f"_{name}" in df.columns else name
 
 
 def any_filled(df: DataFrame, columns: list[str]) -> Column:

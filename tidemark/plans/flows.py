@@ -14,7 +14,7 @@ from tidemark.operators import stock as S
 from tidemark.sinks import messages as M
 from tidemark.sinks import zones as Z
 from tidemark.sources import csv_files as C
-from tidemark.sources.json_docs import scan_envelopes
+from tidemark.sources.json_docs import scan_envelopes, search_roots
 
 
 def _store(df: DataFrame, path: str) -> DataFrame:
@@ -31,17 +31,16 @@ def run_zones(spark: SparkSession, path: str, out: str, as_of: Column, multi_lin
     files = _store(Z.file_rows(found.withColumn("ingested_at", as_of)), f"{out}/raw/files")
 
     rows = C.scan_csv(spark, path, multi_line)
-    ids = files.select(F.col("path").alias("_source_file"), "file_id")
-    known = rows.join(ids, "_source_file")
+    ids = files.select(F.col("path").alias("_source_file"), F.col("file_id").alias("_file_id"))
+    raw = Z.raw_records(rows.join(ids, "_source_file"), F.col("_file_id"), F.col("_row_num"), as_of)
     fields = [c for c in rows.columns if not c.startswith("_")]
-    raw = Z.raw_records(known.select(*fields, "_row_num", "_source_file", "file_id"), F.col("file_id"), F.col("_row_num"), as_of)
     records = _store(raw, f"{out}/raw/records")
 
     payload = ", ".join(f"`{c}` STRING" for c in fields)
-    expanded = records.select("file_id", "row_num", F.from_json("payload", payload).alias("p")).select(
-        "file_id", "row_num", "p.*"
-    )
-    named = expanded.join(files.select("file_id", F.col("path").alias("source_file")), "file_id")
+    expanded = records.select(
+        F.col("file_id").alias("_file_id"), F.col("row_num").alias("_row_num"), F.from_json("payload", payload).alias("_p")
+    ).select("_file_id", "_row_num", "_p.*")
+    named = expanded.join(ids, "_file_id")
     validated = R.validate_goals(R.rename_aliases(named))
     processed = _store(Z.processed_records(validated, as_of), f"{out}/processed/records_clean")
 
@@ -113,11 +112,23 @@ PLAN_ITEM = (
 def run_plans(
     spark: SparkSession, path: str, out: str, as_of: Column, run_id: str = "unknown", per_line: bool = False
 ) -> DataFrame:
-    """Landed plan documents to the flat table (csv and json) and keyed messages."""
-    plans = scan_envelopes(spark, path, PLAN_ITEM, per_line)
+    """Landed plan documents to the flat table (csv and json) and keyed messages.
+
+    A document is an envelope, a list of plans, or one plan.
+    """
+    plans = scan_envelopes(spark, path, PLAN_ITEM, per_line, bare_object=True)
     flat = _store(N.flatten_plans_outer(plans, as_of), f"{out}/flattened_tasks.parquet")
     M.write_table(flat, f"{out}/flattened_tasks.csv")
     M.write_table(flat, f"{out}/flattened_tasks.json")
     sent = M.to_messages(flat, "weekly_plan_id", kafka_sent_timestamp=as_of, dag_run_id=F.lit(run_id))
     sent.write.mode("overwrite").json(f"{out}/topics/plan_tasks")
     return flat
+
+
+def run_plan_search(spark: SparkSession, path: str, out: str, per_line: bool = False, record: str = PLAN_ITEM) -> DataFrame:
+    """Landed plan documents with their list under any known root key to the flat table of daily tasks."""
+    docs = spark.read.text(path, wholetext=not per_line)
+    flat = _store(N.flatten_plans_inner(search_roots(docs, "value", record)), f"{out}/flattened_plan.parquet")
+    M.write_table(flat, f"{out}/flattened_plan.csv")
+    publish_table(flat, f"{out}/topics/weekly_plans", "weekly_plan_id")
+    return flat

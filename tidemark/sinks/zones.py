@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.jsons import EXACT
 from tidemark.functions.text import base_name
-from tidemark.operators.rules import payload_columns
+from tidemark.operators.rules import payload_columns, row_column
 
 # The processed zone's columns and types.
 PROCESSED = {
@@ -65,6 +65,7 @@ def processed_records(validated: DataFrame, processed_at: Column) -> DataFrame:
     A value that its column cannot hold is null there, and the row is not valid: it gets a reason.
     """
     have = set(validated.columns)
+    id_column, number = row_column(validated, "file_id"), row_column(validated, "row_num")
     found = F.col("_validation_errors") if "_validation_errors" in have else F.array().cast("array<string>")
     misfits = [
         F.when(F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull(), F.lit(f"{name} does not fit {kind}"))
@@ -74,8 +75,8 @@ def processed_records(validated: DataFrame, processed_at: Column) -> DataFrame:
     lost = F.filter(F.array(*misfits), lambda x: x.isNotNull()) if misfits else F.array().cast("array<string>")
     errors = F.array_join(F.concat(F.coalesce(found, F.array().cast("array<string>")), lost), "; ")
     known = {
-        "source_file_id": F.col("file_id") if "file_id" in have else F.lit(None),
-        "source_row_num": F.col("row_num") if "row_num" in have else F.lit(None),
+        "source_file_id": F.col(id_column) if id_column in have else F.lit(None),
+        "source_row_num": F.col(number) if number in have else F.lit(None),
         "valid": (F.coalesce("_is_valid", F.lit(True)) if "_is_valid" in have else F.lit(True)) & (F.size(lost) == 0),
         "rejected_reason": F.nullif(errors, F.lit("")),
         "original_payload": payload_json(validated),

@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 ROOT_KEYS = ["data", "results", "items", "tasks", "weeklyPlans", "plans", "content"]
 
 
-def scan_envelopes(spark: SparkSession, path: str, item: str, per_line: bool = False) -> DataFrame:
+def scan_envelopes(
+    spark: SparkSession, path: str, item: str, per_line: bool = False, bare_object: bool = False
+) -> DataFrame:
     """Items of ``{"data": [...]}`` or bare-list documents, one document per file or per line.
 
-    ``item`` is the item's schema. Other documents, empty ones and broken ones
-    give no rows. A file of one document is one task; files of lines are split.
+    ``item`` is the item's schema. With ``bare_object`` an object without a list under
+    ``data`` is one item. Other documents, empty ones and broken ones give no rows. A file of one document is one task; files of lines are split.
     """
     docs = spark.read.text(path, wholetext=not per_line)
     bare = F.ltrim("value").startswith("[")
-    items = F.when(bare, F.from_json("value", f"array<struct<{item}>>")).otherwise(
-        F.from_json("value", f"data array<struct<{item}>>")["data"]
-    )
+    listed = F.from_json("value", f"data array<struct<{item}>>")["data"]
+    if bare_object:
+        sound = F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull()
+        listed = F.coalesce(listed, F.when(sound, F.array(F.from_json("value", f"struct<{item}>"))))
+    items = F.when(bare, F.from_json("value", f"array<struct<{item}>>")).otherwise(listed)
     # the inner explode would add a filter that parses the document a second time
     rows = docs.select(F.explode_outer(items).alias("item"))
     return rows.filter(F.col("item").isNotNull()).select("item.*")
