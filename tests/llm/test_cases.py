@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 
 import pytest
 
@@ -213,6 +214,21 @@ def test_licenses(spark, odd, empty):
     assert licenses.license_scan(empty, known).collect() == []
 
 
+def test_licenses_in_any_wrapping(spark):
+    mit = dict((a, b) for a, b in licenses.KNOWN if len(b) > 200)["MIT"]
+    line = " ".join(mit.split())
+    wrapped = ["\n".join(textwrap.wrap(line, n)) for n in (30, 60, 72, 78, 100)]
+    assert any("\nCOPYRIGHT HOLDERS" in t for t in [mit, *wrapped]) and any("OR COPYRIGHT HOLDERS" in t for t in wrapped)
+    notices = ["Copyright (c) 2020 me", "copyright 2019-2020 Me, Inc.\nAll rights reserved.", "© me", "Copyright The Me Authors", "(c) 2020 me"]
+    titles = ["MIT License", "The MIT License (MIT)"]
+    texts = [line, *wrapped, *(f"{n}\n\n{mit}" for n in notices), *(f"{t}\n\n{notices[0]}\n\n{w}" for t in titles for w in [line, *wrapped])]
+    texts += [f"MIT License {notices[0]} {line}"]
+    others = [line.replace("COPYRIGHT HOLDERS", ""), line.replace("NO EVENT", "ANY EVENT")]
+    docs = spark.createDataFrame(list(enumerate(texts + others)), "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(docs, licenses.known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(got))] == ["MIT"] * len(texts) + [None] * len(others)
+
+
 def test_main_texts(spark):
     page = "<html><body><div class='top-menu'>Menu</div><div id=content><h2>{0}</h2><p>A &amp; {0}<p>b<i>c</i> {0}</div><div class=comments>no</div>"
     pages = [(i, "http://a.b/x", page.format(f"text number {i} of some length"), "h", "d") for i in range(6)]

@@ -24,7 +24,23 @@ SPELLINGS = [
     ("creative commons", r"(^| )creative commons attribution( |$)", "$1cc by$2"),
 ]
 COPYRIGHT_MARKS = ["copyright ", "(c)", "©", "all rights reserved"]
+# The SQL drops these lines, licence prose among them; texts in the test tables have none such.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright |\(c\)|©|all rights reserved)[^\n]*$"
+_YEAR = r"(?:19|20)\d\d"
+# Words after "copyright" that make it prose, and where a licence begins after a notice on its line.
+_PROSE = (
+    "and|are|as|by law|claims?|disclaimers?|holders?|in|infringement|interests?|is|laws?|licen[cs]es?|notices?|of|on|or"
+    "|owners?|permission|protect(?:ed|ion)|rights?|statements?|status|that|this|to|treat(?:y|ies)|under|works?"
+)
+_OPENINGS = r"permission is hereby granted|permission to use,? copy|redistribution and use in source|this is free and unencumbered"
+# A notice: a sign or a year after "copyright" or a sign, a holder up to the end of the line, or a
+# lone "all rights reserved"; a notice also ends where a licence begins on its line.
+NOTICE = (
+    rf"(?:(?:copyright[\s:]*(?:\(c\)|©|{_YEAR})|©|\(c\)[\s:]*(?:copyright|{_YEAR}))[^\n]{{0,200}}?(?={_OPENINGS}))"
+    r"|(?:(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright[ \t:]*(?:\(c\)|©|[\[<{]|" + _YEAR + r")|©|\(c\)[ \t:]*(?:copyright|" + _YEAR + r"))[^\n]{0,200}"
+    rf"|\(c\)[^\n]{{1,100}}(?:all rights reserved|{_YEAR})[^\p{{L}}\p{{N}}\n]*"
+    rf"|copyright[ \t]+(?!(?:{_PROSE})\b)[^\s]+(?:[ \t]+[^\s]+){{0,9}}[ \t]*|all rights reserved[^\p{{L}}\p{{N}}\n]*)$)"
+)
 
 # Known licences and notices.
 KNOWN = [
@@ -51,6 +67,16 @@ OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
     ),
 ]
 
+# Title lines that stand in front of texts that have none of their own.
+TITLES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "MIT": ["MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "MIT License (Expat)", "Expat License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+
 
 def _where(text: Column, contained: list[str], pattern: str, plain: str) -> Column:
     """Replace a pattern in texts that contain one of ``contained``; there is no match in others.
@@ -69,7 +95,7 @@ def _where(text: Column, contained: list[str], pattern: str, plain: str) -> Colu
 def canonical(text: Column) -> Column:
     """Lower-case words of a text in their common spelling, one blank between them."""
     text = F.lower(F.coalesce(text, F.lit("")))
-    text = _where(text, COPYRIGHT_MARKS, COPYRIGHT_LINE, "")
+    text = _where(text, COPYRIGHT_MARKS, NOTICE, "")
     text = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
     for contained, pattern, plain in SPELLINGS:
         text = _where(text, [contained], pattern, plain)
@@ -93,8 +119,9 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """The licences and notices named in this module, as (license_id, text)."""
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    """The licences and notices named in this module, also with their titles, as (license_id, text)."""
+    titled = [(i, f"{title}\n{text}") for i, text in KNOWN if len(text) > 200 for title in TITLES.get(i, [])]
+    return spark.createDataFrame(KNOWN + titled, "license_id string, text string")
 
 
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
