@@ -3,6 +3,7 @@
 import hashlib
 import random
 import textwrap
+from pathlib import Path
 
 import pytest
 
@@ -229,6 +230,30 @@ def test_licenses_in_any_wrapping(spark):
     assert [got[i] for i in range(len(got))] == ["MIT"] * len(texts) + [None] * len(others)
 
 
+def test_licenses_in_full_and_inside_documents(spark):
+    full = {p.name[:-4]: p.read_text() for p in Path(licenses.__file__).parent.joinpath("license_texts").iterdir()}
+    assert sorted(full) == sorted(licenses.FULL)
+    mit = dict((a, b) for a, b in licenses.KNOWN if len(b) > 200)["MIT"]
+    isc, gpl, apache = full["ISC"], full["GPL-3.0"], full["Apache-2.0"]
+    texts = [(i, i, "", 0) for i in full]
+    texts = [(full[i], *x) for i, *x in texts] + [(" ".join(full[i].split()), i, i, 1) for i in ("GPL-3.0", "Apache-2.0", "MPL-2.0", "BSD-3-Clause")]
+    texts += [
+        ("Read me.\n\nMIT License\n\nCopyright (c) 2020 me\n\n" + mit + "\n\nThe end.", None, "MIT", 1),
+        ("A\n\n" + isc + "\n\nB\n\n" + gpl + "\n\nC", None, "GPL-3.0,ISC", 2),
+        ("/*\n * " + mit.replace("\n", "\n * ") + "\n */\n\nint main() {}", None, "MIT", 1),
+        ("x\n\n" + apache[: apache.index("APPENDIX")], None, "Apache-2.0", 1),
+        ("x\n\nThis work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.\n\ny", None, "CC-BY-SA-4.0", 1),
+        ("// SPDX-License-Identifier: BSD-3-Clause\nx", None, "BSD-3-Clause", 1),
+        (mit + "\n\n" + mit, None, "MIT", 2),
+        ("MIT License\n\n" * 300, None, "", 0),
+        ("x\n\n" + mit.replace("Software", "Thing") + "\n\ny", None, "", 0),
+    ]
+    docs = spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    rows = licenses.license_scan(docs, licenses.known_licenses(spark)).collect()
+    got = {r["doc_id"]: (r["license_id"], r["notices"], r["n_notices"]) for r in rows}
+    assert len(rows) == 2 * len(texts) and [got[i] for i in range(len(texts))] == [t[1:] for t in texts]
+
+
 def test_main_texts(spark):
     page = "<html><body><div class='top-menu'>Menu</div><div id=content><h2>{0}</h2><p>A &amp; {0}<p>b<i>c</i> {0}</div><div class=comments>no</div>"
     pages = [(i, "http://a.b/x", page.format(f"text number {i} of some length"), "h", "d") for i in range(6)]
