@@ -265,6 +265,26 @@ def test_main_texts(spark):
     assert html_wrappers.main_texts(spark.createDataFrame([], PAGES)).collect() == []
 
 
+@pytest.mark.parametrize("url", ["http://three.templates/{}", "no host {}"])
+def test_main_texts_of_a_host_with_three_templates(spark, url):
+    def page(i, kind):
+        text = f"<h1>head {i}</h1><p>first text of page {i} about something</p><p>second text of page {i}</p>"
+        around = {
+            "article": "<div class=content><article>{}</article></div>",
+            "main": "<main>{}</main>",
+            "plain": "<div class=story>{}</div>",
+            "small": "<div class=item><div class=inner>{}</div></div>",
+        }
+        return f"<html><body><nav><a href=/>home</a></nav>{around[kind].format(text)}<div class=sidebar>side {i}</div><footer>foot</footer></body></html>"
+
+    want = "head {0} first text of page {0} about something second text of page {0}"
+    kinds = [["article"] * 6 + ["main"] * 3 + ["plain"] * 2 + ["small"], ["plain"] * 20 + ["small"], ["main"] * 5 + ["plain"]]
+    for n, templates in enumerate(kinds):
+        rows = [(i, url.format(i) if n % 2 == 0 else f"http://{n}.x/{i}", page(i, k), None, None) for i, k in enumerate(templates)]
+        got = {r["page_id"]: r["text"] for r in html_wrappers.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+        assert got == {i: want.format(i) for i in range(len(templates))}
+
+
 def test_wrappers_align_options_and_groups():
     one, two = (html_wrappers.wrapper_of(html_wrappers.page_tree(s)) for s in ["<h1>a</h1><p>b<p>c", "<h1>a</h1><table></table><p>d"])
     both = html_wrappers.merge(one, two)

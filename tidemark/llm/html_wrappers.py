@@ -280,68 +280,83 @@ def _is_article(key: str) -> int:
     return int(tag == "main" or "main" in marks)
 
 
-def _weigh(w: list, inside: bool = False) -> int:
-    """Characters outside links and boilerplate in a wrapper."""
-    if w[0] == "#":
-        return w[4][0] - w[4][1]
-    if w[0][0] != "(" and _dropped(w[0], inside):
-        return 0
-    return sum(_weigh(p, inside) for p in w[4])
-
-
-def _most(w: list, level: int, inside: bool = False) -> bool:
-    """Whether a part of that level, with text, is in the wrapper outside boilerplate."""
-    if w[0] == "#" or w[0][0] != "(" and _dropped(w[0], inside):
-        return False
-    if w[0][0] != "(" and _is_article(w[0]) >= level and _weigh(w, True) > 0:
-        return True
-    return any(_most(p, level, inside) for p in w[4])
+def _preorder(w: list) -> list:
+    out, todo = [], [w]
+    while todo:
+        p = todo.pop()
+        out.append(p)
+        if p[0] != "#":
+            todo.extend(reversed(p[4]))
+    return out
+
+
+def _densest(w: list) -> list:
+    """The smallest part that holds at least four fifths of the text outside links and boilerplate."""
+    weights: dict[int, int] = {}
+    for p in reversed(_preorder(w)):
+        if p[0] == "#":
+            weights[id(p)] = p[4][0] - p[4][1]
+        else:
+            dropped = p[0][0] != "(" and _dropped(p[0], False)
+            weights[id(p)] = 0 if dropped else sum([weights[id(x)] for x in p[4]])
+    total = weights[id(w)]
+    while w[0] != "#":
+        inner = next((p for p in w[4] if p[0] != "#" and p[0].split(".")[0] not in PROSE and weights[id(p)] >= 0.8 * total > 0), None)
+        if inner is None or inner[2]:
+            return w
+        w = inner
+    return w
+
+
+# What holds a slot; a page gives the text of the first of these in which it has some.
+IN_ARTICLE, IN_MAIN, IN_CORE, IN_PAGE = 8, 4, 2, 1
 
 
 def decide(w: list) -> list:
     """What to take of the pages of a wrapper: [key, repeated, take, parts].
 
-    ``take`` of a slot is 1 or 0. Articles are taken where the wrapper has some, else the main part,
-    else the part that holds nearly all text outside links. In it, boilerplate by tag or class is
-    left out, as are lists of links and short texts that all pages share outside prose.
+    ``take`` of a slot says in which of an article, the main part, the host's core and the page it is
+    to be taken. The core is the part of the wrapper that holds nearly all text outside links, if that
+    is not the whole body. In each of them, boilerplate by tag or class is left out, as are lists
+    of links and short texts that all pages share outside prose.
     """
-    level = next((n for n in (2, 1) if _most(w, n)), 0)
-    core = w if level else _densest(w)
-
-    def walk(p: list, on: bool, prose: bool, varies: bool) -> list:
+    core = _densest(w)
+    if core[0].split(".")[0] in ("#root", "html", "body"):
+        core = None
+    varies = any(p[0] == "#" and p[4][2] == -1 for p in _preorder(w))
+    whole: list = []
+    todo = [(w, whole, IN_PAGE, 0, False)]
+    while todo:
+        p, parts, on, off, prose = todo.pop()
         if p[0] == "#":
             chars, linked, check = p[4]
             same = check != -1 and p[3] >= 5 and chars <= 60 * p[3] and varies and not prose
-            return ["#", p[2], int(on and not same and not (linked >= 0.8 * chars and not prose)), []]
+            taken = not same and not (linked >= 0.8 * chars and not prose)
+            parts.append(["#", p[2], on & ~off if taken else 0, []])
+            continue
+        plan = [p[0], p[2], 0, []]
+        parts.append(plan)
         if p[0][0] == "(":
-            return [p[0], True, 0, [walk(x, on, prose, varies) for x in p[4]]]
-        if _dropped(p[0], on and level > 0 or p is core and level == 0):
-            return [p[0], p[2], 0, []]
-        on = on or (_is_article(p[0]) >= level if level else p is core)
-        tag = p[0].split(".")[0]
-        return [p[0], p[2], 0, [walk(x, on, prose or tag in PROSE, varies) for x in p[4]]]
-
-    return walk(w, False, False, _varies(w))
-
-
-def _varies(w: list) -> bool:
-    return w[4][2] == -1 if w[0] == "#" else any(map(_varies, w[4]))
-
-
-def _densest(w: list) -> list:
-    """The smallest part that holds at least four fifths of the text outside links."""
-    total = _weigh(w)
-    while w[0] != "#":
-        inner = next((p for p in w[4] if p[0] != "#" and p[0].split(".")[0] not in PROSE and _weigh(p) >= 0.8 * total > 0), None)
-        if inner is None or inner[2]:
-            return w
-        w = inner
-    return w
+            plan[1] = True
+        else:
+            inside = on & (IN_ARTICLE | IN_MAIN) | (IN_CORE if p is core else 0)
+            if _dropped(p[0], True):
+                off |= inside
+            if _dropped(p[0], False):
+                off |= (IN_ARTICLE | IN_MAIN | IN_CORE | IN_PAGE) & ~inside
+            on |= (0, IN_MAIN, IN_ARTICLE | IN_MAIN)[_is_article(p[0])] | (IN_CORE if p is core else 0)
+            prose = prose or p[0].split(".")[0] in PROSE
+        if off != IN_ARTICLE | IN_MAIN | IN_CORE | IN_PAGE:
+            todo.extend((x, plan[3], on, off, prose) for x in reversed(p[4]))
+    return whole[0]
 
 
 def extract(page: Node, plan: list) -> str:
-    """The blocks of a page that its wrapper takes, joined by blanks."""
-    out: list[str] = []
+    """The blocks that the wrapper takes of a page, joined by blanks.
+
+    They are those of its articles, else of its main part, else of the host's core, else of the densest
+    part of the page itself: a host may have templates with and without each of them.
+    """
 
     def find(parts: list, key: str, start: int) -> tuple[int, list] | None:
         for i in range(start, len(parts)):
@@ -353,21 +368,43 @@ def extract(page: Node, plan: list) -> str:
                     return i, inner[1]
         return None
 
-    def read(parts: list, plans: list) -> None:
-        at = 0
-        for p in parts:
-            hit = find(plans, p.key, at) or find(plans, p.key, 0)
-            if hit is None:
-                continue
-            at = hit[0] if hit[1][1] or plans[hit[0]][0][0] == "(" else hit[0] + 1
-            if p.key == "#":
-                if hit[1][2]:
-                    out.append(p.text)
-            else:
-                read(p.parts, hit[1][3])
-
-    read(page.parts, plan[3])
-    return " ".join(out)
+    slots: list[tuple[Slot, int]] = []
+    spans: dict[int, list] = {}  # of a part that is read: its first slot, the one after its last, whether it repeats
+    frames = [[page, iter(page.parts), plan[3], 0]]
+    spans[id(page)] = [0, 0, False]
+    while frames:
+        frame = frames[-1]
+        owner, rest, plans, at = frame
+        p = next(rest, None)
+        if p is None:
+            spans[id(owner)][1] = len(slots)
+            frames.pop()
+            continue
+        hit = find(plans, p.key, at) or find(plans, p.key, 0)
+        if hit is None:
+            continue
+        frame[3] = hit[0] if hit[1][1] or plans[hit[0]][0][0] == "(" else hit[0] + 1
+        if p.key == "#":
+            if hit[1][2]:
+                slots.append((p, hit[1][2]))
+        elif hit[1][3]:
+            spans[id(p)] = [len(slots), len(slots), hit[1][1]]
+            frames.append([p, iter(p.parts), hit[1][3], 0])
+    for level in (IN_ARTICLE, IN_MAIN, IN_CORE):
+        if any(take & level and p.linked < len(p.text) for p, take in slots):
+            return " ".join([p.text for p, take in slots if take & level])
+    before = [0]
+    for p, take in slots:
+        before.append(before[-1] + (len(p.text) - p.linked if take & IN_PAGE else 0))
+    part: Node | None = page
+    first, last = 0, len(slots)
+    while part is not None:
+        first, last, _ = spans[id(part)]
+        found = (x for x in part.parts if id(x) in spans and x.tag not in PROSE)
+        part = next((x for x in found if before[spans[id(x)][1]] - before[spans[id(x)][0]] >= 0.8 * before[-1] > 0), None)
+        if part is not None and spans[id(part)][2]:
+            break
+    return " ".join([p.text for p, take in slots[first:last] if take & IN_PAGE])
 
 
 # ---------------------------------------------------------------- Spark
