@@ -285,6 +285,17 @@ def test_main_texts_of_a_host_with_three_templates(spark, url):
         assert got == {i: want.format(i) for i in range(len(templates))}
 
 
+def test_main_texts_of_deeply_nested_pages(spark):
+    deep = ["<div>" * 20000, "<div>" * 20000, "<center>" * 20000 + "<p>", "<div class=a>" * 9000 + "<o:p>" * 9000, "<article>" + "<div>" * 5000 + "x</div>" * 5000]
+    pages = [(i, "http://deep/x", f"{t}text of page {i}", None, None) for i, t in enumerate(deep)]
+    pages += [(10, "http://other/x", "<article>" + "<div>" * 20000 + "one", None, None), (11, "http://other/y", "<article><p>two</article>", None, None)]
+    got = {r["page_id"]: r["text"] for r in html_wrappers.main_texts(spark.createDataFrame(pages, PAGES)).collect()}
+    assert [got[i] for i in range(4)] == [f"text of page {i}" for i in range(4)]
+    assert got[4].split() == ["x"] * 5000 + "text of page 4".split() and (got[10], got[11]) == ("one", "two")
+    wrapper = html_wrappers.wrapper_of(html_wrappers.page_tree("<h1>a</h1>" + "<div><p>b" * 500))
+    assert html_wrappers.load(html_wrappers.dump(wrapper)) == wrapper
+
+
 def test_wrappers_align_options_and_groups():
     one, two = (html_wrappers.wrapper_of(html_wrappers.page_tree(s)) for s in ["<h1>a</h1><p>b<p>c", "<h1>a</h1><table></table><p>d"])
     both = html_wrappers.merge(one, two)

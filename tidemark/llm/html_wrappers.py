@@ -18,6 +18,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,6 +103,18 @@ def page_tree(source: str) -> Node:
     """The blocks and text slots of a page; markup may be broken or cut."""
     root = Node("#root", "#root")
     stack, texts, linked, links, at = [root], [], 0, 0, 0
+    opened: Counter[str] = Counter()  # tags on the stack
+
+    def close(depth: int) -> None:
+        for node in stack[depth:]:
+            opened[node.tag] -= 1
+        del stack[depth:]
+
+    def close_tag(tag: str) -> None:
+        depth = len(stack) - 1
+        while stack[depth].tag != tag:
+            depth -= 1
+        close(depth)
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -145,27 +158,25 @@ def page_tree(source: str) -> Node:
                     texts.append(" ")
                 elif name == "a":
                     links = 0 if closing else 1
-                if closing and name != "a" and any(n.tag == f"{name}!" for n in stack):
+                if closing and name != "a" and opened[f"{name}!"]:
                     flush()
-                    while stack.pop().tag != f"{name}!":
-                        pass
+                    close_tag(f"{name}!")
                 continue
             name += "!"
         if closing:
-            if any(n.tag == name for n in stack[1:]):
+            if opened[name]:
                 flush()
                 links = 0
-                while stack.pop().tag != name:
-                    pass
+                close_tag(name)
             continue
         flush()
         links = 0
         if name in CLOSES_P and stack[-1].tag == "p":
-            stack.pop()
+            close(len(stack) - 1)
         if name in CLOSED_BY_SAME:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in CLOSED_BY_SAME[name]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BARRIERS:
                     break
@@ -173,6 +184,7 @@ def page_tree(source: str) -> Node:
         stack[-1].parts.append(node)
         if name not in VOID and not rest.rstrip().endswith("/"):
             stack.append(node)
+            opened[name] += 1
     flush()
     return root
 
@@ -180,7 +192,8 @@ def page_tree(source: str) -> Node:
 # ---------------------------------------------------------------- wrappers
 # A wrapper is [key, optional, repeated, pages, parts]; the parts of a slot ("#") are
 # [characters, linked characters, checksum of the text or -1 if it differs]; the key of a group
-# of several parts is "(" and its parts' keys.
+# of several parts is "(" and its parts' keys. Pages may nest without bound (tags that are never
+# closed), so no function here calls itself for what a part contains.
 
 
 def _fold(parts: list) -> list:
@@ -209,35 +222,68 @@ def _fold(parts: list) -> list:
     return parts
 
 
+def _slot_wrapper(slot: Slot) -> list:
+    return ["#", False, False, 1, [len(slot.text), slot.linked, zlib.crc32(slot.text.encode("utf-8", "replace"))]]
+
+
 def wrapper_of(part: Node | Slot) -> list:
     """The wrapper of one page, or of a part of it."""
-    if isinstance(part, Slot):
-        return ["#", False, False, 1, [len(part.text), part.linked, zlib.crc32(part.text.encode("utf-8", "replace"))]]
-    return [part.key, False, False, 1, _fold([wrapper_of(p) for p in part.parts])]
+    order, todo = [], [part]
+    while todo:
+        p = todo.pop()
+        order.append(p)
+        if p.key != "#":
+            todo.extend(p.parts)
+    done: dict[int, list] = {}
+    for p in reversed(order):
+        done[id(p)] = _slot_wrapper(p) if p.key == "#" else [p.key, False, False, 1, _fold([done.pop(id(x)) for x in p.parts])]
+    return done[id(part)]
 
 
 def merge(a: list, b: list, same_page: bool = False) -> list:
     """The wrapper that takes what either takes; both have the same key."""
-    pages = max(a[3], b[3]) if same_page else a[3] + b[3]
     if a[0] == "#":
-        (m, k, x), (n, j, y) = a[4], b[4]
-        return ["#", a[1] or b[1], a[2] or b[2], pages, [m + n, k + j, x if x == y else -1]]
-    return [a[0], a[1] or b[1], a[2] or b[2], pages, _align(a[4], b[4], same_page)]
+        return _merge_slots(a, b, same_page)
+    waiting, result = [_merge(a, b, same_page)], None
+    while waiting:
+        try:
+            waiting.append(_merge(*waiting[-1].send(result)))
+            result = None
+        except StopIteration as stop:
+            result = stop.value
+            waiting.pop()
+    return result
+
+
+def _merge_slots(a: list, b: list, same_page: bool) -> list:
+    (m, k, x), (n, j, y) = a[4], b[4]
+    return ["#", a[1] or b[1], a[2] or b[2], max(a[3], b[3]) if same_page else a[3] + b[3], [m + n, k + j, x if x == y else -1]]
+
+
+# The generators below yield what they need merged, as (a, b, same page), and are sent the result.
+
+
+def _merge(a: list, b: list, same_page: bool):
+    pages = max(a[3], b[3]) if same_page else a[3] + b[3]
+    return [a[0], a[1] or b[1], a[2] or b[2], pages, (yield from _align(a[4], b[4], same_page))]
 
 
-def _align(a: list, b: list, same_page: bool) -> list:
+def _align(a: list, b: list, same_page: bool):
     """Longest common subsequence by keys; what only one side has becomes optional."""
+    out: list = []
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [merge(x, y, same_page) for x, y in zip(a, b, strict=True)]
+        for x, y in zip(a, b, strict=True):
+            out.append(_merge_slots(x, y, same_page) if x[0] == "#" else (yield x, y, same_page))
+        return out
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    i, j = 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j], same_page))
+            out.append(_merge_slots(a[i], b[j], same_page) if a[i][0] == "#" else (yield a[i], b[j], same_page))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append([a[i][0], True, *a[i][2:]])
@@ -245,22 +291,44 @@ def _align(a: list, b: list, same_page: bool) -> list:
         else:
             out.append([b[j][0], True, *b[j][2:]])
             j += 1
-    return _fold_again(out)
+    return (yield from _fold_again(out))
 
 
-def _fold_again(parts: list) -> list:
+def _fold_again(parts: list):
     """Neighbours of the same key, one of them repeated, are one repeated part."""
     out: list = []
     for p in parts:
         if out and out[-1][0] == p[0] and (out[-1][2] or p[2]):
             last = out[-1]
-            out[-1] = merge(last, p, True)
+            out[-1] = _merge_slots(last, p, True) if p[0] == "#" else (yield last, p, True)
             out[-1][1], out[-1][2] = last[1] and p[1], True
         else:
             out.append(p)
     return out
 
 
+def dump(w: list) -> str:
+    """A wrapper or plan as JSON that does not nest: its parts in order, each with the number of its own parts."""
+    out, todo = [], [w]
+    while todo:
+        p = todo.pop()
+        if p[0] == "#":
+            out.append(p)
+        else:
+            out.append([*p[:-1], len(p[-1])])
+            todo.extend(reversed(p[-1]))
+    return json.dumps(out)
+
+
+def load(text: str) -> list:
+    done: list = []
+    for p in reversed(json.loads(text)):
+        if p[0] != "#":
+            p[-1] = [done.pop() for _ in range(p[-1])]
+        done.append(p)
+    return done[0]
+
+
 # ---------------------------------------------------------------- rules
 
 
@@ -423,7 +491,7 @@ def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _rows(held: dict[str, list]) -> pd.DataFrame:
-    return pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]}, dtype=object)
+    return pd.DataFrame({"host": list(held), "wrapper": [dump(w) for w in held.values()]}, dtype=object)
 
 
 def _merge_sorted(last: bool):
@@ -433,7 +501,7 @@ def _merge_sorted(last: bool):
         host, whole, done = None, None, {}
         for batch in batches:
             for name, text in zip(batch["host"], batch["wrapper"], strict=True):
-                new = json.loads(text)
+                new = load(text)
                 if name == host:
                     whole = merge(whole, new)
                     continue
@@ -474,7 +542,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if plan not in plans:
                 if len(plans) > HELD_HOSTS:
                     plans.clear()
-                plans[plan] = json.loads(plan)
+                plans[plan] = load(plan)
             texts.append(extract(page_tree(source), plans[plan]))
         yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
 
