@@ -296,6 +296,25 @@ def test_main_texts_of_deeply_nested_pages(spark):
     assert html_wrappers.load(html_wrappers.dump(wrapper)) == wrapper
 
 
+def test_main_texts_keep_what_only_sounds_like_boilerplate(spark):
+    kept = [
+        '<h2 id="related-work">a1</h2>', '<section id="search-algorithms"><p>a2</p><p>a3</p></section>', '<h3 id="social-impact">a4</h3>',
+        '<pre><code><span class="k">if</span> x: <span class="comment"># a5</span></code></pre>', '<p id="share">a6</p>',
+        '<p>a7 <span class="token comment">a8</span> <em class="related-work">a9</em></p>', '<div class="section" id="comments"><p>b1</p></div>',
+        '<section id="notice"><p>b2</p></section>', '<div class="ad-hoc">b3</div>', '<div class="research-notes social-science">b4</div>',
+    ]
+    dropped = [
+        '<div class="share-bar">n1</div>', '<div class="related-posts"><p>n2</p></div>', '<ul id="comments-list"><li>n3</ul>', '<div class="related">n4</div>',
+        '<section class="comments"><p>n5</p></section>', '<div class="shareButtons">n6</div>', '<div role="search">n7</div>', '<p>b5 <span class="ad">n8</span></p>',
+    ]
+    want = "a1 a2 a3 a4 if x: # a5 a6 a7 a8 a9 b1 b2 b3 b4 b5"
+    for around in ("<article>{}</article>", "<main>{}</main>"):
+        page = "<html><body><div class='search-tools'>no</div>" + around.format("".join(kept + dropped)) + "<section id=comments>no</section>"
+        rows = [(i, "http://names/x", page, None, None) for i in range(3)]
+        got = {r["text"] for r in html_wrappers.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+        assert got == {want}
+
+
 def test_wrappers_align_options_and_groups():
     one, two = (html_wrappers.wrapper_of(html_wrappers.page_tree(s)) for s in ["<h1>a</h1><p>b<p>c", "<h1>a</h1><table></table><p>d"])
     both = html_wrappers.merge(one, two)

@@ -60,6 +60,16 @@ DROP_WORDS = set(
     " widget widgets".split()
 )
 HEADER_WORDS = {"header", "banner", "masthead"}
+# Words that make a name of boilerplate together with one of the above, as in share-bar or related-posts.
+COMPANIONS = set(
+    "area article articles aside author bar block blog body bottom box button buttons btn card cards center closed container"
+    " content count entry feed form group header heading icon icons inline inner inpage input item items label left link links"
+    " list main media meta module nav new news outer overlay page panel post posts right root row section single site slot small"
+    " sticky stories story text thread title toggle top unit wrap wrapper".split()
+)
+SECTIONS = {"section", "header", "hgroup"}
+# Mark of an element that is boilerplate also inside an article; no word of class or id is like it.
+BOILERPLATE = "-"
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)"
@@ -68,11 +78,15 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 WORD = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"([a-z])([A-Z])")
 SPACE = re.compile(r"\s+")
 
 
+MAIN_PARTS = "#main"
+
+
 class Node:
-    """An element with its blocks and slots. ``key``: tag and the words of class, id and role."""
+    """An element with its blocks and slots. ``key``: tag and the marks of class, id and role."""
 
     __slots__ = ("tag", "key", "parts")
 
@@ -90,24 +104,48 @@ class Slot:
         self.text, self.linked = text, linked
 
 
-def _marks(attributes: str) -> list[str]:
-    """Words of class, id, role and itemprop; digits do not count, as ids are often numbered."""
-    found = set()
-    for _, value in ATTRIBUTE.findall(attributes):
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
-        found.update(WORD.findall(value.lower()))
-    return sorted(found)
+def _names_boilerplate(words: list[str]) -> bool:
+    """Whether a whole class, id or role (its words) says boilerplate, not just one word of it."""
+    drop = DROP_WORDS - HEADER_WORDS
+    return not drop.isdisjoint(words) and all(w in DROP_WORDS or w in COMPANIONS or len(w) <= 2 for w in words)
+
+
+def _marks(tag: str, attributes: str, code: bool = False) -> list[str]:
+    """Words of class, id, role and itemprop, and ``BOILERPLATE`` if one of them names it as a whole.
+
+    Digits do not count, as ids are often numbered. Ids of headings, prose and inline elements are
+    not read, as they are made from the text; those of sections are, if as a whole they name
+    boilerplate or the main part, but then not inside an article. In code nothing is boilerplate by name.
+    """
+    found, named = set(), False
+    names = [(kind.lower(), token) for kind, value in ATTRIBUTE.findall(attributes) for token in value.strip("\"'").split()]
+    section = tag in SECTIONS or any(kind == "class" and token.lower() == "section" for kind, token in names)
+    for kind, token in names:
+        if kind == "id" and (tag in PROSE or tag in INLINE):
+            continue
+        words = WORD.findall(CAMEL.sub(r"\1 \2", token).lower())
+        whole = _names_boilerplate(words)
+        if kind == "id" and section:
+            if whole or not {"main", "article"}.isdisjoint(words):
+                found.update(words)
+            continue
+        found.update(words)
+        # a span of class comment is a comment in code
+        named = named or whole and not code and not (tag in INLINE and words == ["comment"])
+    return sorted(found | {BOILERPLATE}) if named else sorted(found)
 
 
 def page_tree(source: str) -> Node:
     """The blocks and text slots of a page; markup may be broken or cut."""
     root = Node("#root", "#root")
     stack, texts, linked, links, at = [root], [], 0, 0, 0
-    opened: Counter[str] = Counter()  # tags on the stack
+    opened: Counter[str] = Counter()  # tags on the stack, and how many of them are articles or main parts
 
     def close(depth: int) -> None:
         for node in stack[depth:]:
             opened[node.tag] -= 1
+            if opened[MAIN_PARTS]:
+                opened[MAIN_PARTS] -= _is_article(node.key) > 0
         del stack[depth:]
 
     def close_tag(tag: str) -> None:
@@ -152,8 +190,8 @@ def page_tree(source: str) -> Node:
             at = end.end() if end else len(source)
             continue
         if name in INLINE:
-            marked = "" if closing or not rest or name in VOID else _marks(rest)
-            if not marked or not DROP_WORDS.intersection(marked):
+            marked = () if closing or not rest or name in VOID or opened["pre"] else _marks(name, rest)
+            if BOILERPLATE not in marked and (opened[MAIN_PARTS] or DROP_WORDS.isdisjoint(marked)):
                 if name == "br":
                     texts.append(" ")
                 elif name == "a":
@@ -180,11 +218,12 @@ def page_tree(source: str) -> Node:
                     break
                 if stack[i].tag in BARRIERS:
                     break
-        node = Node(name, ".".join([name, *_marks(rest)]) if rest else name)
+        node = Node(name, ".".join([name, *_marks(name.rstrip("!"), rest, opened["pre"] > 0)]) if rest else name)
         stack[-1].parts.append(node)
         if name not in VOID and not rest.rstrip().endswith("/"):
             stack.append(node)
             opened[name] += 1
+            opened[MAIN_PARTS] += _is_article(node.key) > 0
     flush()
     return root
 
@@ -336,8 +375,9 @@ def _dropped(key: str, inside: bool) -> bool:
     tag, *marks = key.split(".")
     if tag in DROP_TAGS or (tag == "header" and not inside):
         return True
-    words = DROP_WORDS - HEADER_WORDS if inside else DROP_WORDS | HEADER_WORDS
-    return tag not in ("html", "body", "#root", "article", "main") and not words.isdisjoint(marks)
+    if tag in ("html", "body", "#root", "article", "main"):
+        return False
+    return BOILERPLATE in marks if inside else not (DROP_WORDS | HEADER_WORDS).isdisjoint(marks)
 
 
 def _is_article(key: str) -> int:
