@@ -28,6 +28,19 @@ def test_update_only_if_better(spark, tmp_path):
     assert ML.accuracy(ML.score(ML.load_newest(spark, str(tmp_path)), good, "y")) == 1.0
 
 
+def test_update_archives_and_saves(spark, tmp_path):
+    est = ML.forest(["x"], ["c"], "y", trees=5, depth=4)
+    good, bad = data(spark, 200), data(spark, 200, flip=1)
+    old = est.fit(bad)
+    folder = str(tmp_path)
+    ML.save_version(old, folder, 9)
+    new, changed, before, after = ML.update_if_better(old, est, good, good, "y", folder)
+    assert changed and ML.newest_version(spark, folder) == 10
+    assert ML.accuracy(ML.score(ML.load_newest(spark, folder), good, "y")) == after
+    assert ML.accuracy(ML.score(ML.load_newest(spark, f"{folder}/archive"), good, "y")) == before
+    assert not ML.update_if_better(new, est, bad, good, "y", folder)[1] and ML.newest_version(spark, folder) == 10
+
+
 def test_scores_of_folds(spark):
     est = ML.forest(["x"], [], "y", trees=5, depth=4)
     scores = ML.cross_validate(data(spark, 300), est, "y", ["id"], 3)

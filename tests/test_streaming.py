@@ -76,3 +76,12 @@ def test_last_message_of_a_file_wins(spark, tmp_path):
     write(spark, source, [(0, {**env, "_rows": 9}), (1, {**env, "_rows": 3})])
     I.start_ingest(spark.readStream.schema(SCHEMA).parquet(source), out, F.lit("now")).awaitTermination()
     assert [r["rows"] for r in I.raw_files(spark, out).collect()] == [3]
+
+
+def test_recomputed_views_hold_all_batches(spark, tmp_path):
+    for rows in [[(1, 10.0), (2, 5.0)], [(1, 30.0)]]:
+        spark.createDataFrame(rows, "k long, v double").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("k long, v double").parquet(f"{tmp_path}/in")
+        V.keep_recomputed(stream, f"{tmp_path}/out", lambda df: df.groupBy("k").agg(F.max("v").alias("v")))
+    got = {r["k"]: r["v"] for r in V.newest(spark, f"{tmp_path}/out").collect()}
+    assert got == {1: 30.0, 2: 5.0}

@@ -410,7 +410,9 @@ def champion_challenger(t):
     old = rows.filter(F.col("split") == "train").drop("split")
     new = rows.filter(F.col("split") == "test").drop("split")
     first = estimator(20).fit(old)
-    _, replaced, before, after = ML.update_if_better(first, estimator(20), old, new, "quality")
+    folder = scratch(t.spark, "champion_challenger")
+    ML.save_version(first, folder, 1)
+    _, replaced, before, after = ML.update_if_better(first, estimator(20), old, new, "quality", folder)
     return new.agg(
         F.lit(replaced).alias("replaced"), F.lit(before).alias("accuracy_before"),
         F.lit(after).alias("accuracy_after"), F.count(F.lit(1)).alias("new_rows"),

@@ -161,6 +161,16 @@ def weight_histogram(t):
     return G.equal_width_histogram(outer_rows(t), "daily_task_weight", 20)
 
 
+@query(
+    "weekly_weight_histogram",
+    f"""WITH {OUTER}, s AS (SELECT min(weekly_task_weight) AS lo, max(weekly_task_weight) AS hi FROM o)
+SELECT CAST(least(floor((weekly_task_weight - lo) / ((hi - lo) / 20)), 19) AS BIGINT) AS bin, count(*) AS n
+FROM o, s WHERE weekly_task_weight IS NOT NULL GROUP BY 1""",
+)
+def weekly_weight_histogram(t):
+    return G.equal_width_histogram(outer_rows(t), "weekly_task_weight", 20)
+
+
 @query(
     "json_normalize",
     """SELECT o_orderkey AS id, c_name AS "owner.name", c_nationkey AS "owner.place.nation", c_mktsegment AS "owner.place.segment",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.goals import now
+from tidemark.catalog.goals import PROGRESS_CTE, TREND_CTE, now
 from tidemark.catalog.registry import query
 from tidemark.catalog.sources import EVENT, land_events
 from tidemark.operators import goals as G
@@ -156,3 +156,58 @@ def stream_department_stats(t):
     out = scratch(t.spark, "stream_department_stats")
     V.keep_summary(G.department_stats(goal_stream(t, "stream_department_stats_in")), out)
     return V.newest(t.spark, out).withColumn("completion_rate", F.round("completion_rate", 6))
+
+
+def message_stream(t, df, key, name):
+    """A topic of the rows of ``df``, read as a stream."""
+    path = scratch(t.spark, name)
+    M.publish(M.to_messages(df, key).select("value"), path, "text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return TP.parse_values(TP.stream_topic(t.spark, path), fields)
+
+
+@query(
+    "stream_key_results",
+    f"""WITH {PROGRESS_CTE} SELECT key_result_id, status, progress_percentage, round(achievement_rate, 6) AS achievement_rate,
+    is_on_track, needs_attention, days_to_deadline FROM p""",
+    ("v_key_results",),
+)
+def stream_key_results(t):
+    """Topic to topic: key results in, key results with progress out, read back from the messages."""
+    out = scratch(t.spark, "stream_key_results")
+    progressed = G.with_progress(message_stream(t, t.key_results, "key_result_id", "stream_key_results_in"), now())
+    V.append_table(M.to_messages(progressed, "key_result_id"), out)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in progressed.schema)
+    return TP.parse_values(t.spark.read.parquet(f"{out}/table"), fields).select(
+        "key_result_id", "status", "progress_percentage", F.round("achievement_rate", 6).alias("achievement_rate"),
+        "is_on_track", "needs_attention", "days_to_deadline",
+    )
+
+
+@query(
+    "stream_trends",
+    f"WITH {TREND_CTE} SELECT key_result_id, round(velocity, 6) AS velocity, trend_direction, last_update, update_frequency FROM t",
+    ("v_progress_updates",),
+)
+def stream_trends(t):
+    """Velocity and direction per key result, worked out anew with every batch of updates."""
+    out = scratch(t.spark, "stream_trends")
+    V.keep_recomputed(message_stream(t, t.progress_updates, "key_result_id", "stream_trends_in"), out, G.key_result_trends)
+    return V.newest(t.spark, out).select("key_result_id", F.round("velocity", 6).alias("velocity"), "trend_direction", "last_update", "update_frequency")
+
+
+@query(
+    "stream_insights",
+    f"""WITH {TREND_CTE},
+c AS (SELECT key_result_id, count(*) AS n FROM v_progress_updates GROUP BY key_result_id)
+SELECT (SELECT CAST(sum(n) AS BIGINT) FROM c) AS total_updates_processed, (SELECT count(*) FROM c) AS active_key_results,
+       (SELECT round(avg(n), 6) FROM c WHERE key_result_id IS NOT NULL) AS avg_update_frequency,
+       (SELECT count(*) FROM t WHERE trend_direction = 'positive') AS positive_trends,
+       (SELECT count(*) FROM t WHERE trend_direction = 'negative') AS negative_trends""",
+    ("v_progress_updates",),
+)
+def stream_insights(t):
+    """Totals over all updates, worked out anew with every batch."""
+    out = scratch(t.spark, "stream_insights")
+    V.keep_recomputed(message_stream(t, t.progress_updates, "key_result_id", "stream_insights_in"), out, G.overall_insights)
+    return V.newest(t.spark, out).withColumn("avg_update_frequency", F.round("avg_update_frequency", 6))

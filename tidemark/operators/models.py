@@ -87,16 +87,29 @@ def load_newest(spark: SparkSession, folder: str) -> PipelineModel:
 
 
 def update_if_better(
-    current: PipelineModel, estimator: Pipeline, history: DataFrame, new: DataFrame, label: str
+    current: PipelineModel,
+    estimator: Pipeline,
+    history: DataFrame,
+    new: DataFrame,
+    label: str,
+    folder: str | None = None,
 ) -> tuple[PipelineModel, bool, float, float]:
     """Retrain on old and new rows; keep the result only if it scores better on the new ones.
 
-    Returns the model to use, whether it changed, and both accuracies.
+    Returns the model to use, whether it changed, and both accuracies. With the ``folder`` in which
+    the current model is the newest version, a model that is replaced goes to its archive, and the new
+    one is saved as the next version.
     """
     before = accuracy(score(current, new, label))
     candidate = estimator.fit(history.unionByName(new))
     after = accuracy(score(candidate, new, label))
-    return (candidate, True, before, after) if after > before else (current, False, before, after)
+    if after <= before:
+        return current, False, before, after
+    if folder is not None:
+        version = newest_version(new.sparkSession, folder) or 1
+        save_version(current, f"{folder.rstrip('/')}/archive", version)
+        save_version(candidate, folder, version + 1)
+    return candidate, True, before, after
 
 
 def cross_validate(df: DataFrame, estimator: Pipeline, label: str, keys: list[str], folds: int = 5) -> DataFrame:

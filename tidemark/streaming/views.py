@@ -63,6 +63,20 @@ def keep_latest(stream: DataFrame, out: str, order: list[Column], most: int = 10
     run(stream, write, f"{out}/checkpoint")
 
 
+def keep_recomputed(stream: DataFrame, out: str, summary: Callable[[DataFrame], DataFrame]) -> None:
+    """Keep what ``summary`` makes of all rows so far, for results that no streaming aggregate gives.
+
+    Every batch stores its rows in a folder that it overwrites and works the result out anew from all.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")
+        rows = df.sparkSession.read.schema(f"{df.schema.toDDL()}, batch BIGINT").parquet(f"{out}/rows")
+        _store_version(summary(rows.filter(F.col("batch") <= batch).drop("batch")), out, batch)
+
+    run(stream, write, f"{out}/checkpoint")
+
+
 def append_table(stream: DataFrame, out: str, format: str = "parquet") -> None:
     """Append a stream to a table folder, exactly once."""
     query = (
