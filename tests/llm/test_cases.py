@@ -204,6 +204,15 @@ def test_toxicity(spark, odd, empty):
     assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_toxicity_keeps_other_columns(spark):
+    docs = spark.sql("""SELECT 'a b' AS text, timestamp'2024-01-02 03:04:05.123456' AS at, timestamp_ntz'1800-01-02 03:04:05.000001' AS ntz,
+        CAST(NULL AS BIGINT) AS n, map('k', CAST(NULL AS STRING)) AS m, array(named_struct('x', double('NaN'), 'd', 1.10bd)) AS l, X'00ff' AS b, 9007199254740993L AS big
+        UNION ALL SELECT NULL, NULL, NULL, 5, NULL, NULL, NULL, NULL""")
+    scored = toxicity.with_scores(docs, toxicity.Grammar({}, toxicity.UNTRAINED))
+    assert scored.columns == [*docs.columns, "score"] and scored.dtypes[:-1] == docs.dtypes
+    assert sorted(map(str, scored.drop("score").collect())) == sorted(map(str, docs.collect()))
+
+
 def test_licenses(spark, odd, empty):
     mit = dict((a, b) for a, b in licenses.KNOWN if len(b) > 200)["MIT"]
     texts = ["Copyright (c) 2020 me\n" + mit.upper(), "x\nReleased under the MIT Licence\nreleased under the MIT license!", None, ""]

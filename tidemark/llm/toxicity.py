@@ -24,8 +24,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Bound of the labelled sample that the model is fitted on, in expected rows.
 TRAIN_ROWS = 30_000
@@ -239,9 +241,10 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> G
 
 
 def _scored(grammar: Grammar):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(score=[score(t or "", grammar) for t in batch["text"]])
+            scores = pa.array([score(t or "", grammar) for t in batch.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
 
     return run
 
@@ -252,13 +255,7 @@ def with_scores(docs: DataFrame, grammar: Grammar) -> DataFrame:
     A column of that name is replaced. Rows are independent and nothing is shuffled.
     """
     rest = docs.drop("score")
-    types = {f.name: f.dataType for f in rest.schema}
-    # other columns travel as JSON, as pandas has no whole numbers beside nulls
-    packed = rest.select("text", F.to_json(F.struct(*(f"`{c}`" for c in rest.columns if c != "text"))).alias("_rest"))
-    scored = packed.mapInPandas(_scored(grammar), "text string, _rest string, score double")
-    schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in types.items() if c != "text")
-    opened = scored.withColumn("_rest", F.from_json("_rest", schema)) if schema else scored
-    return opened.select(*(F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in rest.columns), "score")
+    return rest.mapInArrow(_scored(grammar), StructType([*rest.schema.fields, StructField("score", DoubleType())]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
