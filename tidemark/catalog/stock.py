@@ -219,6 +219,17 @@ def orphan_check(t):
     return S.orphans(t.key_results, goals, "objective_id").select("key_result_id", "objective_id")
 
 
+@query(
+    "orphan_updates",
+    """SELECT key_result_id, count(*) AS n FROM v_progress_updates u
+    WHERE key_result_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_key_results k WHERE k.key_result_id = u.key_result_id) GROUP BY key_result_id""",
+    ("v_progress_updates", "v_key_results"),
+)
+def orphan_updates(t):
+    """Updates per key result that is not there, over both whole tables."""
+    return S.orphans(t.progress_updates, t.key_results, "key_result_id").groupBy("key_result_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "request_kpis",
     f"""WITH {JOINED} SELECT count(*) AS total_requests,
