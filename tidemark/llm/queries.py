@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     decontaminate,
     exact_dedup,
+    hnsw,
     html_wrappers,
     licenses,
     mixing,
     ngram_join,
+    runs,
     shards,
     token_counts,
     toxicity,
     warc_zip,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,6 +210,22 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), components=8)
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.with_repeated_tails(table(spark, sf_dir, "documents"))
+    return runs.document_runs(docs).drop("collapsed")
+
+
+@query()
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_copies(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
