@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import minute_number, whole_days
+from tidemark.functions.times import whole_days
 
 
 def _done() -> Column:
@@ -128,24 +128,33 @@ def equal_width_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFra
     )
 
 
-def _velocity_parts(updates: DataFrame) -> DataFrame:
-    """Per key: update count, last update, and sums of the update-to-update speeds.
+def ordered_slices(updates: DataFrame) -> DataFrame:
+    """The updates with ``_slice``, which rises in the order of (key, date with null last, id).
 
-    Rows of a key are ordered inside one minute; only the first and last row of
-    each (key, minute) are ordered over the whole key. So the rows of a hot key
-    spread over its minutes, and its second window is at most as long as its
-    history has minutes.
+    The borders come from a sample of the rows and may lie anywhere in that order, so a key, a minute of
+    it or its rows without date are cut like any other rows if they are many.
     """
-    inside = Window.partitionBy("key_result_id", "_slice").orderBy(
-        F.col("update_date").asc_nulls_last(), F.col("update_id")
-    )
     rows = updates.select(
         "key_result_id",
         "update_id",
         "update_date",
         F.col("progress_percentage").cast("double").alias("p"),
-        minute_number(F.col("update_date")).alias("_slice"),
     )
+    order = [F.col("key_result_id"), F.col("update_date").asc_nulls_last(), F.col("update_id"), F.col("p")]
+    return rows.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
+
+
+def velocity_parts(updates: DataFrame) -> DataFrame:
+    """Per key: update count, last update, and sums of the update-to-update speeds.
+
+    Rows of a key are ordered inside one slice of ``ordered_slices``; only the first and last row of
+    each (key, slice) are ordered over the whole key, and a key has no more slices than there are
+    partitions. Summaries of neighbouring slices merge into that of both.
+    """
+    inside = Window.partitionBy("key_result_id", "_slice").orderBy(
+        F.col("update_date").asc_nulls_last(), F.col("update_id"), F.col("p")
+    )
+    rows = ordered_slices(updates)
     inner = rows.select(
         "key_result_id",
         "_slice",
@@ -168,7 +177,7 @@ def _velocity_parts(updates: DataFrame) -> DataFrame:
         F.max(F.when(last, F.col("p"))).alias("p1"),
         F.max(F.when(last, F.col("update_date"))).alias("t1"),
     )
-    key = Window.partitionBy("key_result_id").orderBy(F.col("_slice").asc_nulls_last())
+    key = Window.partitionBy("key_result_id").orderBy("_slice")
     stitched = slices.withColumn(
         "_v",
         _speed(
@@ -231,13 +240,9 @@ def _direction() -> Column:
     )
 
 
-def key_result_trends(updates: DataFrame) -> DataFrame:
-    """Velocity, direction, last update and update count of keys updated twice or more.
-
-    The velocity is null where it is not finite; the direction stays.
-    """
-    parts = _velocity_parts(updates).filter(F.col("key_result_id").isNotNull() & (F.col("n") > 1))
-    return parts.select(
+def trends_of(parts: DataFrame) -> DataFrame:
+    """``key_result_trends`` from the parts of each key."""
+    return parts.filter(F.col("key_result_id").isNotNull() & (F.col("n") > 1)).select(
         "key_result_id",
         F.when((F.col("up") + F.col("down")) == 0, F.try_divide("total", "finite")).alias("velocity"),
         _direction().alias("trend_direction"),
@@ -246,18 +251,31 @@ def key_result_trends(updates: DataFrame) -> DataFrame:
     )
 
 
+def key_result_trends(updates: DataFrame) -> DataFrame:
+    """Velocity, direction, last update and update count of keys updated twice or more.
+
+    The velocity is null where it is not finite; the direction stays.
+    """
+    return trends_of(velocity_parts(updates))
+
+
 def trend_counts(trends: DataFrame) -> DataFrame:
     return trends.groupBy("trend_direction").agg(F.count(F.lit(1)).alias("n"))
 
 
-def overall_insights(updates: DataFrame) -> DataFrame:
-    """Updates, distinct keys (null is one), mean updates per known key, trend signs."""
+def insights_of(parts: DataFrame) -> DataFrame:
+    """``overall_insights`` from the parts of each key."""
     known = F.col("key_result_id").isNotNull()
     trend = F.when(known & (F.col("n") > 1), _direction())
-    return _velocity_parts(updates).agg(
+    return parts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_updates_processed"),
         F.count(F.lit(1)).alias("active_key_results"),
         F.avg(F.when(known, F.col("n"))).alias("avg_update_frequency"),
         F.count_if(trend == "positive").alias("positive_trends"),
         F.count_if(trend == "negative").alias("negative_trends"),
     )
+
+
+def overall_insights(updates: DataFrame) -> DataFrame:
+    """Updates, distinct keys (null is one), mean updates per known key, trend signs."""
+    return insights_of(velocity_parts(updates))

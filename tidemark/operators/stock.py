@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import hot_keys, left_join
+from tidemark.session import saved
+
 # Columns of the cleaned tables.
 ITEM_COLUMNS = [
     "id", "item_name", "price", "amount", "is_consumable", "is_fixed_asset", "department_id",
@@ -112,7 +115,7 @@ def _key(c: str) -> Column:
 def with_approvals(requests: DataFrame, approvals: DataFrame | None) -> DataFrame:
     """Requests with the five approval columns on (id, tool_id); repeats fan out.
 
-    Without approvals the columns are null. A hot key is split by AQE.
+    Without approvals the columns are null. A key that is hot on either side is split on both.
     """
     if approvals is None:
         return requests.withColumns(
@@ -120,7 +123,8 @@ def with_approvals(requests: DataFrame, approvals: DataFrame | None) -> DataFram
         )
     left = requests.withColumns({"id": _key("id"), "tool_id": _key("tool_id")})
     right = approvals.select(_key("id"), _key("tool_id"), *APPROVAL_ADDED)
-    return left.join(right, ["id", "tool_id"], "left")
+    keys = ["id", "tool_id"]
+    return left_join(left, right, keys, hot_keys([left, right], keys))
 
 
 def fulfilled(joined: DataFrame) -> DataFrame:
@@ -177,13 +181,15 @@ def current_stock(items: DataFrame, sums: DataFrame | None, back: DataFrame | No
     """Stock with sums per (tool_id, id) joined on the request id alone.
 
     One output row per matching pair of sums, as the defined result has it; use
-    ``current_stock_by_item`` for one row per item.
+    ``current_stock_by_item`` for one row per item. A request id that is hot on any of the three sides is
+    split on both sides of each join.
     """
     if sums is None or back is None:
         return items.withColumn("current_stock", F.col("quantity"))
-    return _stock(
-        items.join(sums.drop("tool_id"), "id", "left").join(back.drop("tool_id"), "id", "left")
-    )
+    sums, back = saved(sums.drop("tool_id"), "received"), saved(back.drop("tool_id"), "returned")
+    hot = hot_keys([items, sums, back], ["id"])
+    taken = left_join(items, sums, ["id"], hot, ((0,), 1))
+    return _stock(left_join(taken, back, ["id"], hot, ((0, 1), 2)))
 
 
 def current_stock_by_item(items: DataFrame, sums: DataFrame, back: DataFrame) -> DataFrame:
