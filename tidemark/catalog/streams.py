@@ -14,6 +14,7 @@ from tidemark.sinks import messages as M
 from tidemark.sources import topics as TP
 from tidemark.streaming import ingest as I
 from tidemark.streaming import views as V
+from tidemark.streaming.velocity import keep_velocity_parts
 
 BROKEN = "CASE WHEN event_id % 7 = 0 THEN substr(props, 1, length(props) - 1) ELSE props END"
 
@@ -190,10 +191,10 @@ def stream_key_results(t):
     ("v_progress_updates",),
 )
 def stream_trends(t):
-    """Velocity and direction per key result, worked out anew with every batch of updates."""
+    """Velocity and direction per key result, from the state that a stream of updates keeps of each."""
     out = scratch(t.spark, "stream_trends")
-    V.keep_recomputed(message_stream(t, t.progress_updates, "key_result_id", "stream_trends_in"), out, G.key_result_trends)
-    return V.newest(t.spark, out).select("key_result_id", F.round("velocity", 6).alias("velocity"), "trend_direction", "last_update", "update_frequency")
+    keep_velocity_parts(message_stream(t, t.progress_updates, "key_result_id", "stream_trends_in"), out)
+    return G.trends_of(V.newest(t.spark, out)).select("key_result_id", F.round("velocity", 6).alias("velocity"), "trend_direction", "last_update", "update_frequency")
 
 
 @query(
@@ -207,7 +208,7 @@ SELECT (SELECT CAST(sum(n) AS BIGINT) FROM c) AS total_updates_processed, (SELEC
     ("v_progress_updates",),
 )
 def stream_insights(t):
-    """Totals over all updates, worked out anew with every batch."""
+    """Totals over all updates, from the state that a stream of updates keeps of each key result."""
     out = scratch(t.spark, "stream_insights")
-    V.keep_recomputed(message_stream(t, t.progress_updates, "key_result_id", "stream_insights_in"), out, G.overall_insights)
-    return V.newest(t.spark, out).withColumn("avg_update_frequency", F.round("avg_update_frequency", 6))
+    keep_velocity_parts(message_stream(t, t.progress_updates, "key_result_id", "stream_insights_in"), out)
+    return G.insights_of(V.newest(t.spark, out)).withColumn("avg_update_frequency", F.round("avg_update_frequency", 6))

@@ -63,18 +63,21 @@ def keep_latest(stream: DataFrame, out: str, order: list[Column], most: int = 10
     run(stream, write, f"{out}/checkpoint")
 
 
-def keep_recomputed(stream: DataFrame, out: str, summary: Callable[[DataFrame], DataFrame]) -> None:
-    """Keep what ``summary`` makes of all rows so far, for results that no streaming aggregate gives.
+def keep_upserted(changes: DataFrame, out: str, keys: list[str]) -> None:
+    """Keep the last row of each key of a stream in update mode; null keys are equal.
 
-    Every batch stores its rows in a folder that it overwrites and works the result out anew from all.
+    A batch and the last version give the next version in one grouping, which no key makes large.
     """
 
     def write(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")
-        rows = df.sparkSession.read.schema(f"{df.schema.toDDL()}, batch BIGINT").parquet(f"{out}/rows")
-        _store_version(summary(rows.filter(F.col("batch") <= batch).drop("batch")), out, batch)
+        rows = df.select(F.struct(*df.columns).alias("_row"), F.lit(1).alias("_new"))
+        if batch > 0:
+            before = df.sparkSession.read.parquet(f"{out}/state/slot={(batch - 1) % 2}").select(F.struct(*df.columns).alias("_row"), F.lit(0).alias("_new"))
+            rows = rows.unionByName(before)
+        last = rows.groupBy(*(F.col(f"_row.{k}").alias(k) for k in keys)).agg(F.max_by("_row", "_new").alias("_row"))
+        _store_version(last.select("_row.*"), out, batch)
 
-    run(stream, write, f"{out}/checkpoint")
+    run(changes, write, f"{out}/checkpoint", "update")
 
 
 def append_table(stream: DataFrame, out: str, format: str = "parquet") -> None:
