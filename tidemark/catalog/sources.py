@@ -19,25 +19,32 @@ from tidemark.sources import topics as TP
 
 @query(
     "csv_scan",
-    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS c_mktsegment,
-    CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS c_nationkey FROM customer""",
+    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_name || chr(10) || '"x"; y' ELSE c_name END AS c_name,
+    CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS c_mktsegment,
+    CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS c_nationkey,
+    row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row_num,
+    CASE WHEN c_nationkey % 2 = 0 THEN 'a/nation=' ELSE 'b/nation=' END || c_nationkey AS folder FROM customer""",
 )
 def csv_scan(t):
-    """Two layouts: semicolons with padded cells and an extra column, and plain commas."""
+    """Two layouts: semicolons with padded cells, line ends in quotes and an extra column; and plain commas.
+
+    One file per nation, in the order of the keys, so that row numbers and files are known.
+    """
     folder = scratch(t.spark, "csv_scan")
+    odd_name = F.concat("c_name", F.lit('\n"x"; y'))
     c = t.customer.select(
         "c_custkey",
-        F.concat(F.lit("  "), "c_name", F.lit(" ")).alias("c_name"),
+        F.when(F.col("c_custkey") % 5 == 0, odd_name).otherwise(F.concat(F.lit("  "), "c_name", F.lit(" "))).alias("c_name"),
         F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey")).alias("c_nationkey"),
         "c_mktsegment",
-        (F.col("c_nationkey") % 2).alias("_side"),
+        F.col("c_nationkey").alias("nation"),
     )
-    even = c.filter(F.col("_side") == 0).drop("_side")
-    odd = c.filter(F.col("_side") == 1).drop("_side", "c_mktsegment")
-    plain = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    even.write.options(sep=";", **plain).csv(f"{folder}/a")
-    odd.write.options(**plain).csv(f"{folder}/b")
-    return C.scan_csv(t.spark, f"{folder}/*/*.csv").drop("_row_num", "_source_file")
+    c = c.repartition("nation").sortWithinPartitions("nation", "c_custkey")
+    plain = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+    c.filter("nation % 2 = 0").write.partitionBy("nation").options(sep=";", **plain).csv(f"{folder}/a")
+    c.filter("nation % 2 = 1").drop("c_mktsegment").write.partitionBy("nation").options(**plain).csv(f"{folder}/b")
+    rows = C.scan_csv(t.spark, f"{folder}/*/*/*.csv").withColumnRenamed("_row_num", "row_num")
+    return rows.withColumn("folder", F.regexp_extract("_source_file", "([ab]/nation=[0-9]+)/[^/]*$", 1)).drop("_source_file")
 
 
 @query(

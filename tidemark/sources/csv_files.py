@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidemark.functions.numbers import parse_double
 from tidemark.functions.text import base_name, blank_to_null, strip
 from tidemark.session import saved
+from tidemark.sources.csv_records import csv_records, ends_inside
 
 # Separators that are looked for, most likely first.
 SEPARATORS = [",", ";", "\t", "|"]
@@ -33,23 +34,24 @@ def describe_files(spark: SparkSession, path: str) -> DataFrame:
         ).alias("at"),
     )
     ascii_blank = F.trim("value") == ""
-    odd_quotes = (F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
     files = lines.groupBy("path").agg(
         F.when(F.bool_and(F.is_valid_utf8("value")), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
         F.min_by("value", F.when(~ascii_blank, F.col("at"))).alias("header"),
-        # a line with an odd number of quotes begins or ends a cell of several lines
-        F.bool_or(odd_quotes).alias("multi_line"),
+        # the first line that leaves a cell open is one that starts outside of cells
+        *(F.bool_or(ends_inside(F.col("value"), s)).alias(f"open{i}") for i, s in enumerate(SEPARATORS)),
     )
     counts = [
         F.struct(
             (F.length("header") - F.length(F.replace("header", F.lit(s), F.lit("")))).alias("n"),
             F.lit(-i).alias("rank"),
             F.lit(s).alias("sep"),
+            F.col(f"open{i}").alias("multi_line"),
         )
         for i, s in enumerate(SEPARATORS)
     ]
     files = files.filter(F.col("header").isNotNull())
-    return files.withColumn("separator", F.array_max(F.array(*counts))["sep"])
+    best = F.array_max(F.array(*counts))
+    return files.select("path", "encoding", "header", best["sep"].alias("separator"), best["multi_line"].alias("multi_line"))
 
 
 def _names(header: str, separator: str) -> list[str]:
@@ -61,9 +63,18 @@ def _text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _reader(spark: SparkSession, separator: str, encoding: str, multi_line: bool):
-    return spark.read.options(
-        header=True, sep=separator, encoding=encoding, quote='"', escape='"', multiLine=multi_line
+def _cells(
+    spark: SparkSession, path: str | list[str], names: list[str], separator: str, encoding: str, multi_line: bool
+) -> DataFrame:
+    """The columns ``names``, _row_num and _source_file of CSV files of one layout; all files are split."""
+    options = {"sep": separator, "quote": '"', "escape": '"'}
+    if not multi_line:
+        reader = spark.read.options(header=True, encoding=encoding, **options).schema(_text_schema(names))
+        return _with_row_number(reader.csv(path), names)
+    schema = ", ".join("`{}` STRING".format(n.replace("`", "``")) for n in names)
+    cells = F.from_csv("record", schema, options)
+    return csv_records(spark, path, separator, encoding).select(cells.alias("_cells"), "_row_num", "_source_file").select(
+        "_cells.*", "_row_num", "_source_file"
     )
 
 
@@ -106,8 +117,7 @@ def scan_layout(
     multi_line: bool = False,
 ) -> DataFrame:
     """CSV files of one known layout as trimmed text columns, without a look at them first."""
-    rows = _reader(spark, separator, encoding, multi_line).schema(_text_schema(names)).csv(path)
-    return _with_row_number(rows, names).withColumns(
+    return _cells(spark, path, names, separator, encoding, multi_line).withColumns(
         {n: blank_to_null(strip(F.col(f"`{n}`"))) for n in names}
     )
 
@@ -136,8 +146,8 @@ def _layouts(spark: SparkSession, path: str) -> list[tuple[list[str], str, str,
 def scan_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """All CSV files below ``path`` as trimmed text columns, whatever their layout.
 
-    Files are grouped by (encoding, separator, header); each group is one scan. Files with line ends
-    inside quotes are found and read whole, the others are split; ``multi_line`` sets it for all.
+    Files are grouped by (encoding, separator, header); each group is one scan. All files are split, also
+    those with line ends inside quotes, which are found; ``multi_line`` sets it for all.
     """
     parts = [
         scan_layout(spark, read, names, separator, encoding, spans if multi_line is None else multi_line)
@@ -158,7 +168,7 @@ def scan_typed_csv(spark: SparkSession, path: str, names: list[str]) -> DataFram
     """
     parts = []
     for own, separator, encoding, spans, read in _layouts(spark, path):
-        rows = _reader(spark, separator, encoding, spans).schema(_text_schema(own)).csv(read)
+        rows = _cells(spark, read, own, separator, encoding, spans)
         cells = [F.col(f"`{n}`") if n in own else F.lit(None).cast("string") for n in names]
         parts.append(rows.select(*[blank_to_null(c).alias(n) for c, n in zip(cells, names)]))
     raw = reduce(DataFrame.unionByName, parts)
