@@ -188,6 +188,18 @@ def test_contamination(spark, odd, empty):
     assert decontaminate.contamination(empty, bench).collect() == []
 
 
+def test_contamination_is_linear_in_hits(spark):
+    """A document that is all hit, 50,000 words long."""
+    import time
+
+    item = words(50_000, 11)
+    docs = spark.createDataFrame([(1, item), (2, item + " x"), (3, "x")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["n_hit"] for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: 50_000, 2: 50_000, 3: 0} and time.time() - began < 60
+
+
 def test_toxicity(spark, odd, empty):
     docs, rows = odd
     labels = spark.createDataFrame([(7, 1), (7, None), (None, 1), (3, 0)], "doc_id long, toxic int")
@@ -324,6 +336,52 @@ def test_main_texts_keep_what_only_sounds_like_boilerplate(spark):
         assert got == {want}
 
 
+def test_main_texts_keep_all_that_an_article_holds(spark):
+    shared = "<html><body><article><div>Read this first.</div><p>Body {0} of the text</p></article><div>Read this first.</div>"
+    links = "<html><body><article><p>Text {0}</p><div><a href=/x>A long link that fills its block</a></div></article><div><a href=/y>Elsewhere on this site</a></div>"
+    for around in ("article", "main"):
+        for page, want in [(shared, "Read this first. Body {0} of the text"), (links, "Text {0} A long link that fills its block")]:
+            page = page.replace("article", around)
+            rows = [(i, f"http://whole/{i}", page.format(i), None, None) for i in range(7)]
+            got = {r["page_id"]: r["text"] for r in html_wrappers.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+            assert got == {i: want.format(i) for i in range(7)}
+
+
+def test_alignment_is_the_longest_common_subsequence(monkeypatch):
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = (r.choices("abcd", k=r.randrange(30)) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        rest = html_wrappers._common_counts(a, b)
+        assert all(rest(i, j) == best[i][j] for i in range(len(a) + 1) for j in range(len(b) + 1))
+    monkeypatch.setattr(html_wrappers, "ALIGN_BITS", 50)
+    one, two = (html_wrappers.wrapper_of(html_wrappers.page_tree("".join(f"<{t}>x</{t}>" for t in r.choices(["h1", "h2", "h3", "pre"], k=40)))) for _ in range(2))
+    both = html_wrappers.merge(one, two)
+    for w in (one, two):
+        keys = iter(p[0] for p in both[4])
+        assert all(p[0] in keys for p in w[4])
+
+
+def test_unlike_pages_of_many_blocks(spark):
+    import time
+
+    r = random.Random(8)
+    tags = [f"<{t} class=k{i}>" for t in ("p", "div", "h2", "pre") for i in range(12)]
+    pages = [(k, "http://unlike/x", "<article>" + "".join(r.choice(tags) + f"w{k}x{i}" for i in range(20_000)), None, None) for k in range(4)]
+    began = time.time()
+    trees = [html_wrappers.wrapper_of(html_wrappers.page_tree(p[2])) for p in pages]
+    wrapper = trees[0]
+    for t in trees[1:]:
+        wrapper = html_wrappers.merge(wrapper, t)
+    assert time.time() - began < 60
+    plan = html_wrappers.decide(wrapper)
+    for k, _, page, *_ in pages:
+        assert html_wrappers.extract(html_wrappers.page_tree(page), plan).split() == [f"w{k}x{i}" for i in range(20_000)]
+
+
 def test_wrappers_align_options_and_groups():
     one, two = (html_wrappers.wrapper_of(html_wrappers.page_tree(s)) for s in ["<h1>a</h1><p>b<p>c", "<h1>a</h1><table></table><p>d"])
     both = html_wrappers.merge(one, two)

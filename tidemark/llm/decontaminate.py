@@ -147,9 +147,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> Da
     )
     windows = (
         rows.join(_small(met), ["_id", "_text"])
-        .select("_id", "_text", words(F.col("text")).alias("words"), "_met")
+        # out of a generator, the words are a value that no later expression computes again
+        .select("_id", "_text", F.explode_outer(F.array(words(F.col("text")))).alias("words"), "_met")
         .select("_id", "_text", spread.alias("_windows"))
-        .select("_id", "_text", F.explode("_windows").alias("_w"))
+        .select("_id", "_text", F.explode_outer("_windows").alias("_w"))
         .select("_id", "_text", "_w.span", "_w.start", "_w.window")
     )
     hits = windows.join(_small(item_windows), ["span", "window"])

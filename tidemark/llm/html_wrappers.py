@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 import zlib
 from collections import Counter
@@ -30,7 +31,10 @@ from tidemark.session import saved
 
 BROADCAST_BYTES = 32 << 20
 HELD_HOSTS = 5_000
+#: characters of pages (a wrapper has at most as many), and of wrappers, that a task holds
+HELD_CHARS = 64 << 20
 LONGEST_GROUP = 4
+ALIGN_BITS = 1 << 28
 
 # Tags of HTML by what they mean here.
 INLINE = set(
@@ -307,6 +311,33 @@ def _merge(a: list, b: list, same_page: bool):
     return [a[0], a[1] or b[1], a[2] or b[2], pages, (yield from _align(a[4], b[4], same_page))]
 
 
+def _pieces(a: list, b: list):
+    """The two sides, or where they are very long both cut into as many pieces, which are aligned one with one."""
+    n = max(1, -(-len(a) * len(b) // ALIGN_BITS))
+    n = min(math.isqrt(n - 1) + 1, max(len(a), len(b), 1))
+    for k in range(n):
+        yield a[len(a) * k // n : len(a) * (k + 1) // n], b[len(b) * k // n : len(b) * (k + 1) // n]
+
+
+def _common_counts(a: list[str], b: list[str]):
+    """rest(i, j): how long the longest common subsequence of a[i:] and b[j:] is.
+
+    A row of the table is kept as one whole number, a bit for each place where the count rises, and the next row
+    comes of a few operations on it: a bit of memory a cell, and work by the machine word.
+    """
+    m = len(b)
+    places: dict[str, int] = {}
+    for j, key in enumerate(reversed(b)):
+        places[key] = places.get(key, 0) | 1 << j
+    full = (1 << m) - 1
+    row, rows = full, [0] * (len(a) + 1)
+    for i in range(len(a) - 1, -1, -1):
+        hit = row & places.get(a[i], 0)
+        row = ((row + hit) | (row - hit)) & full
+        rows[i] = full ^ row
+    return lambda i, j: (rows[i] & ((1 << (m - j)) - 1)).bit_count()
+
+
 def _align(a: list, b: list, same_page: bool):
     """Longest common subsequence by keys; what only one side has becomes optional."""
     out: list = []
@@ -314,22 +345,21 @@ def _align(a: list, b: list, same_page: bool):
         for x, y in zip(a, b, strict=True):
             out.append(_merge_slots(x, y, same_page) if x[0] == "#" else (yield x, y, same_page))
         return out
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    i, j = 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(_merge_slots(a[i], b[j], same_page) if a[i][0] == "#" else (yield a[i], b[j], same_page))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], True, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], True, *b[j][2:]])
-            j += 1
+    for left, right in _pieces(a, b):
+        n, m = len(left), len(right)
+        rest = _common_counts([x[0] for x in left], [x[0] for x in right])
+        i, j = 0, 0
+        while i < n or j < m:
+            if i < n and j < m and left[i][0] == right[j][0]:
+                x, y = left[i], right[j]
+                out.append(_merge_slots(x, y, same_page) if x[0] == "#" else (yield x, y, same_page))
+                i, j = i + 1, j + 1
+            elif j == m or i < n and rest(i + 1, j) >= rest(i, j + 1):
+                out.append([left[i][0], True, *left[i][2:]])
+                i += 1
+            else:
+                out.append([right[j][0], True, *right[j][2:]])
+                j += 1
     return (yield from _fold_again(out))
 
 
@@ -438,9 +468,11 @@ def decide(w: list) -> list:
         p, parts, on, off, prose = todo.pop()
         if p[0] == "#":
             chars, linked, check = p[4]
-            same = check != -1 and p[3] >= 5 and chars <= 60 * p[3] and varies and not prose
-            taken = not same and not (linked >= 0.8 * chars and not prose)
-            parts.append(["#", p[2], on & ~off if taken else 0, []])
+            same = check != -1 and p[3] >= 5 and chars <= 60 * p[3] and varies
+            doubtful = not prose and (same or linked >= 0.8 * chars)
+            # what an article or the main part holds is theirs, however it looks
+            take = on & ~off & (IN_ARTICLE | IN_MAIN if doubtful else -1)
+            parts.append(["#", p[2], take, []])
             continue
         plan = [p[0], p[2], 0, []]
         parts.append(plan)
@@ -520,13 +552,15 @@ def extract(page: Node, plan: list) -> str:
 
 def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[str, list] = {}
+    chars = 0
     for batch in batches:
         for host, source in zip(batch["host"], batch["html"], strict=True):
             new = wrapper_of(page_tree(source))
             held[host] = merge(held[host], new) if host in held else new
-            if len(held) >= HELD_HOSTS:
+            chars += len(source or "")
+            if len(held) >= HELD_HOSTS or chars >= HELD_CHARS:
                 yield _rows(held)
-                held = {}
+                held, chars = {}, 0
     yield _rows(held)
 
 
@@ -580,7 +614,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = []
         for source, plan in zip(batch["html"], batch["wrapper"], strict=True):
             if plan not in plans:
-                if len(plans) > HELD_HOSTS:
+                if sum(map(len, plans)) > HELD_CHARS:
                     plans.clear()
                 plans[plan] = load(plan)
             texts.append(extract(page_tree(source), plans[plan]))
