@@ -89,3 +89,15 @@ def test_rules(spark):
         "Invalid team_size: cannot convert float infinity to integer", "Progress must be between 0 and 100",
     ]
     assert sum(r["_is_valid"] for r in got.values()) + sum(not r["_is_valid"] for r in got.values()) == 4
+
+
+def test_sentence_chunks_of_a_very_long_text(spark):
+    """100,000 sentences in a time that goes with the text."""
+    import time
+
+    rng = random.Random(4)
+    text = " ".join(" ".join(f"w{rng.randrange(9999)}" for _ in range(rng.randint(1, 9))) + "." for _ in range(100_000))
+    docs = spark.createDataFrame([(0, text)], "i int, text string")
+    began = time.time()
+    got = chunks(D.sentence_chunks(docs, ["i"]))
+    assert got == {0: by_sentence(text, 512, 64)} and time.time() - began < 30

@@ -110,21 +110,19 @@ def sentence_chunks(
     an entry is a sentence, or a word carried over from the chunk before.
     """
     budget, keep = int(tokens * 0.75), int(overlap * 0.75)
-    parts = F.transform(F.split(text, "[.!?]+"), lambda s: strip(s))
-    sentences = F.transform(
-        F.filter(parts, lambda s: s != ""),
-        lambda s, i: F.struct(s.alias("s"), F.size(words(s)).alias("k"), i.alias("i")),
-    )
-    cut = docs.select(*keys, sentences.alias("_s"), F.col(text).alias("_t"))
+    parts = F.filter(F.transform(F.split(text, "[.!?]+"), lambda s: strip(s)), lambda s: s != "")
+    # out of a generator, the sentences are a value that no later expression computes again
+    cut = docs.select(*keys, F.explode_outer(F.array(parts)).alias("_texts"), F.col(text).alias("_t"))
+    sizes = F.transform("_texts", lambda s, i: F.struct(F.size(words(s)).alias("k"), i.alias("i")))
+    cut = cut.select(*keys, "_texts", F.explode_outer(F.array(sizes)).alias("_s"), "_t")
     none = F.array().cast("array<string>")
-    # The open chunk is the carried words and the sentences from ``first`` on, so
-    # a step that closes nothing copies nothing.
+    # The open chunk is the carried words and the sentences from ``first`` on.
     start = F.struct(
         none.alias("done"), none.alias("carried"), F.lit(0).alias("first"), F.lit(0).alias("n")
     )
 
     def entries(state: Column, end: Column) -> Column:
-        since = F.slice(F.col("_s")["s"], state["first"] + 1, end - state["first"])
+        since = F.slice("_texts", state["first"] + 1, end - state["first"])
         return F.concat(state["carried"], since)
 
     def step(state: Column, s: Column) -> Column:
@@ -150,11 +148,32 @@ def sentence_chunks(
         )
         return F.when(full, closed).otherwise(grown)
 
+    # A fold copies its state with every step, so the closed chunks are handed on block by block: what is
+    # copied for n sentences grows with n * sqrt(n) instead of its square.
+    size = F.greatest(F.lit(256), F.ceil(F.sqrt(F.size("_s")))).cast("int")
+    number = F.ceil(F.size("_s") / size).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), number - 1), lambda b: F.slice("_s", b * size + 1, size))
+
+    def block_step(outer: Column, block: Column) -> Column:
+        opened = F.struct(
+            none.alias("done"), outer["carried"].alias("carried"), outer["first"].alias("first"), outer["n"].alias("n")
+        )
+
+        def hand_on(state: Column) -> Column:
+            return F.struct(
+                F.concat(outer["done"], state["done"]).alias("done"),
+                state["carried"].alias("carried"),
+                state["first"].alias("first"),
+                state["n"].alias("n"),
+            )
+
+        return F.aggregate(block, opened, step, hand_on)
+
     def finish(state: Column) -> Column:
         return F.array_append(state["done"], F.array_join(entries(state, F.size("_s")), " "))
 
     # without any sentence (only terminators) the words themselves are windowed
-    chunks = F.when(F.size("_s") > 0, F.aggregate("_s", start, step, finish)).when(
+    chunks = F.when(F.size("_s") > 0, F.aggregate(blocks, start, block_step, finish)).when(
         strip(F.col("_t")) != "", _windows(words(F.col("_t")), budget, keep)
     )
     return _chunk_rows(cut, keys, chunks)

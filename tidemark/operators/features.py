@@ -54,16 +54,19 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     return ranked.select("column", "value", (F.col("code") - 1).cast("bigint").alias("code"))
 
 
+NULL_PARTS = 4096
+
+
 def apply_codes(df: DataFrame, codes: DataFrame, columns: list[str], null_code: int | None = None) -> DataFrame:
     """Replace texts by their codes; an unseen text is an error.
 
     A small code table is broadcast by AQE after its size is known; a large one
-    is joined by sort-merge with skewed values split.
+    is joined by sort-merge with skewed values split. Nulls, which match nothing, are spread.
     """
     out = df
     for c in columns:
         table = codes.filter(F.col("column") == c).select(
-            F.col("value").alias("_value"), F.col("code").alias("_code")
+            F.col("value").alias("_value"), F.col("code").alias("_code"), F.lit(0).alias("_null")
         )
         unseen = F.raise_error(F.concat(F.lit(f"unseen label in {c}: "), F.col(c))).cast("bigint")
         code = (
@@ -71,8 +74,10 @@ def apply_codes(df: DataFrame, codes: DataFrame, columns: list[str], null_code:
             .when(F.col("_code").isNull(), unseen)
             .otherwise(F.col("_code"))
         )
-        out = out.join(table, F.col(c) == F.col("_value"), "left").withColumn(c, code)
-        out = out.drop("_value", "_code")
+        others = F.xxhash64(*(F.col(f"`{x}`") for x in df.columns if x != c), F.lit(c))
+        spread = F.when(F.col(c).isNull(), 1 + F.pmod(others, F.lit(NULL_PARTS))).otherwise(0)
+        keys = (F.coalesce(F.col(c), F.lit("")) == F.col("_value")) & (spread.cast("int") == F.col("_null"))
+        out = out.join(table, keys, "left").withColumn(c, code).drop("_value", "_code", "_null")
     return out
 
 

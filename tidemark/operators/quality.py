@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.ordered import in_slices, quantiles
+from tidemark.session import saved
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -109,12 +110,21 @@ def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+#: digests whose texts are fetched by broadcast; and characters by which ties are cut before that
+FETCHED, LEADING = 100_000, 32
+
+
+def _digest(c: Column) -> Column:
+    """128-bit hash of a value, null for null; stands in for a long text in a shuffle."""
+    return F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit("second"), c).alias("b")))
+
+
 def table_profile(df: DataFrame) -> DataFrame:
     """One row per column: type, count, nulls, distinct values; numbers also mean to max.
 
     Moments come from one pass without a shuffle of rows. Distinct values and the
     exact, interpolated quartiles come from the value frequencies, which are
-    combined before their shuffle.
+    combined before their shuffle; texts are counted as digests.
     """
     numbers = _numeric(df)
     others = [c for c in df.columns if c not in numbers]
@@ -143,7 +153,7 @@ def table_profile(df: DataFrame) -> DataFrame:
         distinct.append(sliced.groupBy("column").agg(F.count(F.lit(1)).alias("distinct")))
         table = table.join(quantiles(sliced, "value", "n", "column", [0.25, 0.5, 0.75]), "column", "left")
     if others:
-        texts = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in others])
+        texts = df.select(*[_digest(F.col(f"`{c}`").cast("string")).alias(c) for c in others])
         freq = value_frequencies(texts, others)
         distinct.append(freq.groupBy("column").agg(F.count(F.lit(1)).alias("distinct")))
     found = reduce(lambda a, b: a.unionByName(b), distinct)
@@ -164,10 +174,36 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 
 def top_values(df: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` most frequent values of each text column; the value breaks ties."""
+    """The ``n`` most frequent values of each text column; the value breaks ties.
+
+    Digests are counted, with the first characters of their text. Those alone decide which digests can be among the
+    first ``n``; only the texts of these are fetched, in a second pass.
+    """
+    columns = _texts(df)
+    head = F.struct("column", F.col("value.d").alias("d"), F.col("value.head").alias("head"))
+    marked = df.select(
+        *[
+            F.when(F.col(f"`{c}`").isNotNull(), F.struct(_digest(F.col(f"`{c}`")).alias("d"), F.substring(f"`{c}`", 1, LEADING).alias("head"))).alias(c)
+            for c in columns
+        ]
+    )
+    counts = (
+        marked.unpivot([], columns, "column", "value")
+        .filter(F.col("value").isNotNull())
+        .select(head.alias("k"))
+        .groupBy("k")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("k.*", "n")
+    )
+    first = Window.partitionBy("column").orderBy(F.col("n").desc(), "head")
+    able = counts.withColumn("_rank", F.rank().over(first)).filter(F.col("_rank") <= n).select("column", "d", "n")
+    able = saved(able, "top-digests")
+    wanted = F.broadcast(able) if able.count() <= FETCHED else able
+    values = df.select(*columns).unpivot([], columns, "column", "value").withColumn("d", _digest(F.col("value")))
+    found = values.join(wanted, ["column", "d"]).groupBy("column", "d", "n").agg(F.min("value").alias("value"))
     best = Window.partitionBy("column").orderBy(F.col("n").desc(), "value")
-    freq = value_frequencies(df, _texts(df))
-    return freq.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
+    return ranked.select("column", "value", "n", "rank")
 
 
 def staged_quality(stages: dict[str, DataFrame], least: float = 0.8) -> DataFrame:

@@ -11,6 +11,7 @@ from tidemark.operators import goals as G
 from tidemark.operators import nested as N
 from tidemark.operators import rules as R
 from tidemark.operators import stock as S
+from tidemark.session import saved
 from tidemark.sinks import messages as M
 from tidemark.sinks import zones as Z
 from tidemark.sources import csv_files as C
@@ -41,7 +42,8 @@ def run_zones(spark: SparkSession, path: str, out: str, as_of: Column, multi_lin
         F.col("file_id").alias("_file_id"), F.col("row_num").alias("_row_num"), F.from_json("payload", payload).alias("_p")
     ).select("_file_id", "_row_num", "_p.*")
     named = expanded.join(ids, "_file_id")
-    validated = R.validate_goals(R.rename_aliases(named))
+    # two zones are made of it
+    validated = saved(R.validate_goals(R.rename_aliases(named)), "validated")
     processed = _store(Z.processed_records(validated, as_of), f"{out}/processed/records_clean")
 
     chunks = D.curated_chunks(D.goal_documents(validated, as_of))
@@ -79,7 +81,7 @@ def run_stock(
         decided = _store(normalize_nulls(S.approved_only(approvals)), f"{out}/processed/approved")
         stock = S.current_stock(whole, S.fulfilled_from(asked, decided), S.returned(decided))
         joined = S.with_approvals(asked, decided)
-    _store(joined, f"{out}/processed/combined_requested")
+    joined = _store(joined, f"{out}/processed/combined_requested")
     stored = _store(stock.withColumn("last_updated", as_of), f"{out}/processed/combined_all")
     publish_table(joined, f"{out}/topics/requests", "id")
     publish_table(stored, f"{out}/topics/inventory", "id")
@@ -91,13 +93,14 @@ def run_goals(goals: DataFrame, key_results: DataFrame, updates: DataFrame, out:
     stamp = {"timestamp": as_of}
     risked = G.with_risk(goals, as_of)
     progressed = _store(G.with_progress(key_results, as_of), f"{out}/tables/key_results")
-    trends = _store(G.key_result_trends(updates), f"{out}/tables/trends")
+    parts = saved(G.velocity_parts(updates), "velocity-parts")
+    trends = _store(G.trends_of(parts), f"{out}/tables/trends")
     publish_table(risked, f"{out}/topics/objectives_transformed", "objective_id")
     publish_table(G.department_stats(goals).withColumns(stamp), f"{out}/topics/department_stats", "department")
     publish_table(progressed, f"{out}/topics/key_results_transformed", "key_result_id")
     publish_table(G.key_result_metrics(progressed).withColumns(stamp), f"{out}/topics/aggregate_metrics")
     publish_table(trends.withColumns(stamp), f"{out}/topics/trends", "key_result_id")
-    publish_table(G.overall_insights(updates).withColumns(stamp), f"{out}/topics/insights")
+    publish_table(G.insights_of(parts).withColumns(stamp), f"{out}/topics/insights")
 
 
 # The fields of a nested plan document.
