@@ -7,7 +7,6 @@ from pathlib import Path
 
 import pytest
 
-import corpus_pipeline
 from tidemark.llm import (
     components,
     decontaminate,
@@ -420,13 +419,3 @@ def test_packages_are_zip_files(tmp_path):
             assert z.testzip() is None and z.namelist() == [warc_zip.ARCHIVE, warc_zip.INDEX]
         data = path.read_bytes()
         assert [p for _, p in warc_zip.package_records(lambda at, n: data[at : at + n], len(data))] == [b"data"]
-
-
-@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
-def test_stages_take_odd_rows(spark, odd, empty, name):
-    stage = dict(corpus_pipeline.STAGES)[name]
-    cut = ["doc_id", "text", "lang", "source", "n_chars"]
-    for docs in (odd[0], empty):
-        out = stage(spark, docs.select(cut), "/root/testdata/sf0.001")
-        assert out.count() >= 0
-        assert name == "sharding" or out.columns == cut

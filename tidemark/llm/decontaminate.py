@@ -91,19 +91,31 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+NEW = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated.
 
-    ``docs`` has doc_id and text, ``benchmark`` has item_id and text; all columns of ``docs`` are kept
-    except those of the new names. A window is ``span`` item words in a row; an item with fewer words,
+    ``docs`` has doc_id and text, ``benchmark`` has item_id and text; all columns of ``docs`` are kept as they are,
+    whatever their names, except that those of the new names are replaced. A window is ``span`` item words in a row; an item with fewer words,
     but not none, is one window. A document word inside any occurrence of a window is hit. n_items
     counts the items with occurring windows; items_sha256 is the SHA-256 of their ids, sorted as text
     and joined by commas (of the empty text if there are none). Null texts have no words. Items
     with a null id hit words but are not listed; items that repeat are listed once. A row is known by
     its id and text, so repeated rows get the same result each.
     """
-    new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    docs = docs.drop(*new)
+    found = _found(docs, benchmark, span)
+    return found.select(*(F.col("_user")[c].alias(c) for c in docs.columns if c not in NEW), *NEW)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
+    """The rows of ``docs`` without a word in a window of an item; columns stay as they are."""
+    return _found(docs, benchmark, span).filter("not contaminated").select("_user.*")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, span: int) -> DataFrame:
+    """The columns of ``docs`` as one, ``_user``, beside the new ones; so no name of a user can clash."""
     id_of = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select(id_of.alias("_id"), F.xxhash64("text").alias("_text"), F.col("text"))
     items = saved(
@@ -170,17 +182,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> Da
         "hits",
     )
     none = F.array().cast("array<string>")
+    whole = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_user"),
+        id_of.alias("_id"),
+        F.xxhash64("text").alias("_text"),
+        F.size(words(F.col("text"))).cast("long").alias("n_words"),
+    )
     return (
-        docs.withColumns({"_id": id_of, "_text": F.xxhash64("text")})
-        .join(_small(found), ["_id", "_text"], "left")
+        whole.join(_small(found), ["_id", "_text"], "left")
         .withColumns(
             {
-                "n_words": F.size(words(F.col("text"))).cast("long"),
                 "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"),
                 "n_items": F.size(F.coalesce("_items", none)).cast("long"),
                 "items_sha256": F.sha2(F.array_join(F.coalesce("_items", none), ","), 256),
             }
         )
         .withColumn("contaminated", F.col("n_hit") > 0)
-        .select(*(F.col(f"`{c}`") for c in docs.columns), *new)
+        .select("_user", *NEW)
     )

@@ -75,21 +75,34 @@ def targets(measured: DataFrame, cycle: list[int], percent: int, most: int) -> D
     )
 
 
+NEW = ["size", "source_size", "target", "taken"]
+
+
 def with_taken(
     docs: DataFrame, quality: DataFrame | None = None, cycle: tuple[int, ...] = (5, 2, 1), percent: int = 150, most: int = 2, seed: str = "mix"
 ) -> DataFrame:
     """``docs`` with size, source_size, target and taken (words the mix takes, repeats counted).
 
-    ``docs`` has doc_id, text and source; all its columns are kept, except that columns of the new
-    names are replaced. ``quality`` (doc_id, weight) gives sampling weights; ids without one, and
+    ``docs`` has doc_id, text and source; all its columns are kept as they are, whatever their names, except that
+    columns of the new names are replaced. ``quality`` (doc_id, weight) gives sampling weights; ids without one, and
     null or not positive weights, weigh 1. Sources by code point, null last, get the weights of
     ``cycle`` in turn and share ``percent`` per cent of all words, at most ``most`` times
     their own. The document in which a budget ends gives as many words as are left; if rows repeat
     it (same id and size), they share them evenly, rounded down. Null texts, empty texts and sources
     without words take nothing. The result depends on ids, sizes, weights and ``seed`` only.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
-    rows = docs.withColumns({"_source": _source_key(F.col("source")), "size": n_words(F.col("text")), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    taken = _taken(docs, quality, cycle, percent, most, seed)
+    return taken.select(*(F.col("_user")[c].alias(c) for c in docs.columns if c not in NEW), *NEW)
+
+
+def _taken(docs: DataFrame, quality: DataFrame | None, cycle: tuple[int, ...], percent: int, most: int, seed: str) -> DataFrame:
+    """The columns of ``docs`` as one, ``_user``, beside the new ones; so no name of a user can clash."""
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_user"),
+        _source_key(F.col("source")).alias("_source"),
+        n_words(F.col("text")).alias("size"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
+    )
     if quality is None:
         weights = None
     else:
@@ -137,16 +150,18 @@ def with_taken(
         .otherwise(0)
     )
     result = keyed(rows).join(plan, "_source").withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
-    return result.select(*(F.col(f"`{c}`") for c in docs.columns), "size", "source_size", "target", "taken")
+    return result.select("_user", *NEW)
 
 
-def mixed(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
-    """The rows of the mix: ``docs`` with each row as often as its words are taken.
+def mixed(
+    docs: DataFrame, quality: DataFrame | None = None, cycle: tuple[int, ...] = (5, 2, 1), percent: int = 150, most: int = 2, seed: str = "mix"
+) -> DataFrame:
+    """The rows of the mix: ``docs`` with each row as often as its words are taken; its columns stay as they are.
 
     Whole rows only: the document in which a budget ends comes once more if at least half of it is
     taken. Rows without words are in no mix.
     """
-    taken = with_taken(docs, quality, **options)
+    taken = _taken(docs, quality, cycle, percent, most, seed)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    rows = taken.withColumn("_times", times).filter("_times > 0")
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = taken.select("_user", times.alias("_times")).filter("_times > 0")
+    return rows.select("_user", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_n")).select("_user.*")

@@ -240,22 +240,25 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> G
     return Grammar(insults, fit_weights(seen))
 
 
-def _scored(grammar: Grammar):
+def _scored(grammar: Grammar, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array([score(t or "", grammar) for t in batch.column("text").to_pylist()], pa.float64())
+            scores = pa.array([score(t or "", grammar) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
 
     return run
 
 
-def with_scores(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """``docs`` (all columns) with a column ``score``, 0 to 1; null and empty texts score as no match.
+def with_scores(docs: DataFrame, grammar: Grammar, name: str = "score") -> DataFrame:
+    """``docs`` (all columns) with a column ``name``, 0 to 1; null and empty texts score as no match.
 
     A column of that name is replaced. Rows are independent and nothing is shuffled.
     """
-    rest = docs.drop("score")
-    return rest.mapInArrow(_scored(grammar), StructType([*rest.schema.fields, StructField("score", DoubleType())]))
+    rest = docs.drop(name)
+    # columns go by number, as their names may hold anything
+    plain = rest.toDF(*(f"c{i}" for i in range(len(rest.columns))))
+    schema = StructType([*plain.schema.fields, StructField("score", DoubleType())])
+    return plain.mapInArrow(_scored(grammar, rest.columns.index("text")), schema).toDF(*rest.columns, name)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
