@@ -78,10 +78,11 @@ def test_last_message_of_a_file_wins(spark, tmp_path):
     assert [r["rows"] for r in I.raw_files(spark, out).collect()] == [3]
 
 
-def test_recomputed_views_hold_all_batches(spark, tmp_path):
-    for rows in [[(1, 10.0), (2, 5.0)], [(1, 30.0)]]:
-        spark.createDataFrame(rows, "k long, v double").write.mode("append").parquet(f"{tmp_path}/in")
+def test_upserted_views_hold_the_last_row_of_a_key(spark, tmp_path):
+    for rows in [[(1, 10.0), (2, 5.0), (None, 1.0)], [(1, 7.0), (3, 2.0)], [(None, 4.0)]]:
+        spark.createDataFrame(rows, "k long, v double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema("k long, v double").parquet(f"{tmp_path}/in")
-        V.keep_recomputed(stream, f"{tmp_path}/out", lambda df: df.groupBy("k").agg(F.max("v").alias("v")))
+        changes = stream.groupBy("k").agg(F.sum("v").alias("v"))
+        V.keep_upserted(changes, f"{tmp_path}/out", ["k"])
     got = {r["k"]: r["v"] for r in V.newest(spark, f"{tmp_path}/out").collect()}
-    assert got == {1: 30.0, 2: 5.0}
+    assert got == {1: 17.0, 2: 5.0, 3: 2.0, None: 5.0}
