@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.text import blank_to_null
 from tidemark.sinks.zones import dead_letters, file_id, file_rows
+from tidemark.streaming.folders import BatchFolders
 
 # The envelope fields of a message.
 ENVELOPE = ["_file_sha256", "_batch_id", "_file_path", "_source", "_rows", "_row_num"]
@@ -69,19 +70,37 @@ def parse_envelopes(messages: DataFrame) -> DataFrame:
     )
 
 
+FILES = "file_id STRING, path STRING, sha256 STRING, rows BIGINT, ingested_at STRING, `partition` INT, `offset` BIGINT"
+
+
+def _last_of_files(log: DataFrame) -> DataFrame:
+    return file_rows(log.drop("file_id"))
+
+
+def message_log(spark: SparkSession, out: str) -> BatchFolders:
+    return BatchFolders(spark, f"{out}/messages", f"{STORED}, ok INT", partition_by=("ok",))
+
+
+def file_log(spark: SparkSession, out: str) -> BatchFolders:
+    """A merged folder holds the last row of each file only."""
+    return BatchFolders(spark, f"{out}/files", FILES, _last_of_files)
+
+
 def write_batch(messages: DataFrame, batch: int, out: str, at: Column) -> None:
     """One micro-batch: its messages in one pass (good and faulty apart), then its files.
 
     Every batch owns folders that it overwrites, so a repeated batch changes
     nothing. ``files`` is a log; readers take the last row per file.
     """
-    spark, folder = messages.sparkSession, f"{out}/messages/batch={batch}"
+    spark = messages.sparkSession
+    stored, files = message_log(spark, out), file_log(spark, out)
     rows = parse_envelopes(messages).withColumn("loaded_at", at.cast("string"))
-    split = rows.withColumn("ok", F.col("error").isNull().cast("int"))
-    split.write.mode("overwrite").partitionBy("ok").parquet(folder)
+    folder = stored.write(rows.withColumn("ok", F.col("error").isNull().cast("int")), batch)
     good = spark.read.schema(f"{STORED}, ok INT").parquet(folder).filter("ok = 1")
     stamped = good.select("path", "sha256", "rows", F.col("loaded_at").alias("ingested_at"), "partition", "offset")
-    file_rows(stamped).write.mode("overwrite").parquet(f"{out}/files/batch={batch}")
+    files.write(file_rows(stamped), batch)
+    files.add(batch)
+    stored.add(batch)
 
 
 def start_ingest(messages: DataFrame, out: str, at: Column) -> StreamingQuery:
@@ -96,13 +115,11 @@ def start_ingest(messages: DataFrame, out: str, at: Column) -> StreamingQuery:
 
 def raw_files(spark: SparkSession, out: str) -> DataFrame:
     """Current files table: the last row of each file over all batches."""
-    log = spark.read.parquet(f"{out}/files").drop("batch", "file_id")
-    return file_rows(log).drop("partition", "offset")
+    return _last_of_files(file_log(spark, out).read()).drop("partition", "offset")
 
 
 def _messages(spark: SparkSession, out: str, ok: int) -> DataFrame:
-    stored = spark.read.schema(f"{STORED}, batch BIGINT, ok INT").parquet(f"{out}/messages")
-    return stored.filter(F.col("ok") == ok)
+    return message_log(spark, out).read().filter(F.col("ok") == ok)
 
 
 def raw_zone(spark: SparkSession, out: str) -> DataFrame:
