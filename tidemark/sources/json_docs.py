@@ -7,19 +7,39 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.json_records import split_items
+
+#: Files of one document that are larger are read by several tasks.
+SPLIT_BYTES = 64 << 20
+
 # The keys under which a document may keep its list, in order.
 ROOT_KEYS = ["data", "results", "items", "tasks", "weeklyPlans", "plans", "content"]
 
 
 def scan_envelopes(
-    spark: SparkSession, path: str, item: str, per_line: bool = False, bare_object: bool = False
+    spark: SparkSession,
+    path: str,
+    item: str,
+    per_line: bool = False,
+    bare_object: bool = False,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """Items of ``{"data": [...]}`` or bare-list documents, one document per file or per line.
 
     ``item`` is the item's schema. With ``bare_object`` an object without a list under
-    ``data`` is one item. Other documents, empty ones and broken ones give no rows. A file of one document is one task; files of lines are split.
+    ``data`` is one item. Other documents, empty ones and broken ones give no rows. Files of lines are split, and so
+    are files of one document with more than ``split_bytes``; a smaller document is one task.
     """
-    docs = spark.read.text(path, wholetext=not per_line)
+    size = F.col("_metadata.file_size")
+    if per_line or spark.read.format("binaryFile").load(path).filter(F.col("length") > split_bytes).isEmpty():
+        return _parse_envelopes(spark.read.text(path, wholetext=not per_line), item, bare_object)
+    items, others = split_items(spark, path, "data", split_bytes)
+    docs = spark.read.text(path, wholetext=True).filter(size <= split_bytes).select("value")
+    split = items.select(F.from_json("item", f"struct<{item}>").alias("item")).filter(F.col("item").isNotNull())
+    return _parse_envelopes(docs.unionByName(others), item, bare_object).unionByName(split.select("item.*"))
+
+
+def _parse_envelopes(docs: DataFrame, item: str, bare_object: bool) -> DataFrame:
     bare = F.ltrim("value").startswith("[")
     listed = F.from_json("value", f"data array<struct<{item}>>")["data"]
     if bare_object:
