@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import textwrap
 from pathlib import Path
 
@@ -138,6 +139,24 @@ def test_token_tables(odd, empty):
     assert token_counts.prefix_tables(empty, vocabulary()).collect() == []
 
 
+def test_token_memory_is_bounded_by_bytes(monkeypatch):
+    """Texts without blanks, Chinese and base64-like, make each piece a new long key."""
+    r = random.Random(5)
+    letters = [chr(c) for c in range(0x4E00, 0x5200)]
+    texts = ["".join(r.choices(letters, k=r.randrange(1, 900))) for _ in range(60)]
+    texts += ["".join(r.choices("abcXYZ019+/", k=r.randrange(1, 900))) for _ in range(60)] + [words(50, i) for i in range(60)]
+    free = token_counts.PrefixCounter(vocabulary())
+    expected = [free.table(t).tobytes() for t in texts]
+    monkeypatch.setattr(token_counts, "MEMORY", 20_000)
+    bound = token_counts.PrefixCounter(vocabulary())
+    for text, table in zip(texts, expected, strict=True):
+        assert bound.table(text).tobytes() == table
+        held = [*bound.pieces.items(), *bound.words.items()]
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in held) <= 20_000
+        assert all(len(k) <= token_counts.LONGEST for k, _ in held)
+    assert sum(len(k) for k in free.pieces) > 10_000
+
+
 def test_mixing(spark, odd, empty):
     docs, rows = odd
     got = mixing.with_taken(docs).collect()

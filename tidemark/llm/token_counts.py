@@ -9,11 +9,15 @@ A text's table holds the change of the count at each of its characters (16-bit n
 bytes a character). Its running sums are the exact counts of all prefixes; ``prefix_counts``,
 ``tokens_of_prefix`` and ``longest_prefix`` answer truncation and budget questions from it
 without encoding again.
+
+A worker remembers what it found for words and pieces of at most ``LONGEST`` characters, in about
+``MEMORY`` bytes; then it starts anew. Results do not depend on it.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 from array import array
 from collections.abc import Iterator
 
@@ -33,7 +37,9 @@ SPLIT = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 SPACES = regex.compile(r"\p{White_Space}{2,}")
-MEMORY = 600_000  # pieces a worker remembers; more are worked out anew
+MEMORY = 96 << 20  # bytes of words and pieces that a worker remembers; more are worked out anew
+LONGEST = 256  # characters of a word or piece that is remembered; longer ones are rarely met again
+ENTRY = 128  # bytes that an entry takes beside its key and value
 
 
 def _byte_letters() -> dict[str, int]:
@@ -67,6 +73,7 @@ class PrefixCounter:
         self.whole: dict[bytes, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0  # bytes of both
 
     def stays(self, before: bytes | None, token: bytes) -> bool:
         """Whether ``token`` is a token of its own after ``before`` (at the start: if None).
@@ -129,15 +136,24 @@ class PrefixCounter:
     def steps(self, piece: str) -> bytes:
         """Change of the count at each character of a piece, as 16-bit numbers."""
         if (found := self.pieces.get(piece)) is None:
-            if len(self.pieces) > MEMORY:
-                self.pieces.clear()
             count = self.counts(piece)
             if len(piece) == 3 and piece[0] == "'" and piece[1:].isalpha():
                 count[2] = 2  # a cut contraction is an apostrophe and a letter
             found = array("h", (b - a for a, b in zip(count, count[1:], strict=False))).tobytes()
-            self.pieces[piece] = found
+            self._keep(self.pieces, piece, found)
         return found
 
+    def _keep(self, memory: dict[str, bytes], key: str, found: bytes) -> None:
+        """Remembers what was found for a key. Once ``MEMORY`` is used up, all is forgotten."""
+        if len(key) > LONGEST:
+            return
+        self.held += sys.getsizeof(key) + sys.getsizeof(found) + ENTRY
+        if self.held > MEMORY:
+            self.pieces.clear()
+            self.words.clear()
+            self.held = 0
+        memory[key] = found
+
     def table(self, text: str) -> np.ndarray:
         """Change of the token count at each character of a text."""
         parts = self.special.split(text) if self.special else [text]
@@ -161,9 +177,8 @@ class PrefixCounter:
 
     def word(self, word: str) -> bytes:
         """Steps of a blank and what follows it up to the next blank: no piece crosses a blank's start."""
-        if len(self.words) > MEMORY:
-            self.words.clear()
-        found = self.words[word] = b"".join(map(self.steps, self.split(" " + word)))
+        found = b"".join(map(self.steps, self.split(" " + word)))
+        self._keep(self.words, word, found)
         return found
 
     def _plain(self, text: str) -> np.ndarray:
