@@ -37,7 +37,7 @@ SPLIT = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 SPACES = regex.compile(r"\p{White_Space}{2,}")
-MEMORY = 96 << 20  # bytes of words and pieces that a worker remembers; more are worked out anew
+MEMORY = 256 << 20  # bytes of words and pieces that a worker remembers; more are worked out anew
 LONGEST = 256  # characters of a word or piece that is remembered; longer ones are rarely met again
 ENTRY = 128  # bytes that an entry takes beside its key and value
 
@@ -136,13 +136,16 @@ class PrefixCounter:
     def steps(self, piece: str) -> bytes:
         """Change of the count at each character of a piece, as 16-bit numbers."""
         if (found := self.pieces.get(piece)) is None:
-            count = self.counts(piece)
-            if len(piece) == 3 and piece[0] == "'" and piece[1:].isalpha():
-                count[2] = 2  # a cut contraction is an apostrophe and a letter
-            found = array("h", (b - a for a, b in zip(count, count[1:], strict=False))).tobytes()
+            found = self._steps(piece)
             self._keep(self.pieces, piece, found)
         return found
 
+    def _steps(self, piece: str) -> bytes:
+        count = self.counts(piece)
+        if len(piece) == 3 and piece[0] == "'" and piece[1:].isalpha():
+            count[2] = 2  # a cut contraction is an apostrophe and a letter
+        return array("h", (b - a for a, b in zip(count, count[1:], strict=False))).tobytes()
+
     def _keep(self, memory: dict[str, bytes], key: str, found: bytes) -> None:
         """Remembers what was found for a key. Once ``MEMORY`` is used up, all is forgotten."""
         if len(key) > LONGEST:
@@ -177,7 +180,11 @@ class PrefixCounter:
 
     def word(self, word: str) -> bytes:
         """Steps of a blank and what follows it up to the next blank: no piece crosses a blank's start."""
-        found = b"".join(map(self.steps, self.split(" " + word)))
+        pieces = self.split(" " + word)
+        if len(pieces) == 1:  # remembered once, as a word
+            found = self.pieces.get(pieces[0]) or self._steps(pieces[0])
+        else:
+            found = b"".join(map(self.steps, pieces))
         self._keep(self.words, word, found)
         return found
 
