@@ -151,10 +151,10 @@ def test_token_memory_is_bounded_by_bytes(monkeypatch):
     bound = token_counts.PrefixCounter(vocabulary())
     for text, table in zip(texts, expected, strict=True):
         assert bound.table(text).tobytes() == table
-        held = [*bound.pieces.items(), *bound.words.items()]
+        held = [x for m in (bound.pieces, bound.words, *bound.older) for x in m.items()]
         assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in held) <= 20_000
         assert all(len(k) <= token_counts.LONGEST for k, _ in held)
-    assert sum(len(k) for k in free.pieces) > 10_000
+    assert sum(len(k) for k in [*free.pieces, *free.words]) > 10_000
 
 
 def test_mixing(spark, odd, empty):

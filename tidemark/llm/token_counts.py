@@ -11,7 +11,7 @@ bytes a character). Its running sums are the exact counts of all prefixes; ``pre
 without encoding again.
 
 A worker remembers what it found for words and pieces of at most ``LONGEST`` characters, in about
-``MEMORY`` bytes; then it starts anew. Results do not depend on it.
+``MEMORY`` bytes; then it forgets what it met longest ago. Results do not depend on it.
 """
 
 from __future__ import annotations
@@ -74,6 +74,7 @@ class PrefixCounter:
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.held = 0  # bytes of both
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # pieces and words of the generation before
 
     def stays(self, before: bytes | None, token: bytes) -> bool:
         """Whether ``token`` is a token of its own after ``before`` (at the start: if None).
@@ -136,8 +137,8 @@ class PrefixCounter:
     def steps(self, piece: str) -> bytes:
         """Change of the count at each character of a piece, as 16-bit numbers."""
         if (found := self.pieces.get(piece)) is None:
-            found = self._steps(piece)
-            self._keep(self.pieces, piece, found)
+            found = self.older[0].get(piece) or self._steps(piece)
+            self._keep(piece, found, word=False)
         return found
 
     def _steps(self, piece: str) -> bytes:
@@ -146,16 +147,20 @@ class PrefixCounter:
             count[2] = 2  # a cut contraction is an apostrophe and a letter
         return array("h", (b - a for a, b in zip(count, count[1:], strict=False))).tobytes()
 
-    def _keep(self, memory: dict[str, bytes], key: str, found: bytes) -> None:
-        """Remembers what was found for a key. Once ``MEMORY`` is used up, all is forgotten."""
+    def _keep(self, key: str, found: bytes, word: bool) -> None:
+        """Remembers what was found for a key, in two generations of half of ``MEMORY`` each.
+
+        A full generation takes the place of the one before; what is met again moves to the new one.
+        """
         if len(key) > LONGEST:
             return
-        self.held += sys.getsizeof(key) + sys.getsizeof(found) + ENTRY
-        if self.held > MEMORY:
-            self.pieces.clear()
-            self.words.clear()
+        size = sys.getsizeof(key) + sys.getsizeof(found) + ENTRY
+        if self.held + size > MEMORY // 2:
+            self.older = self.pieces, self.words
+            self.pieces, self.words = {}, {}
             self.held = 0
-        memory[key] = found
+        self.held += size
+        (self.words if word else self.pieces)[key] = found
 
     def table(self, text: str) -> np.ndarray:
         """Change of the token count at each character of a text."""
@@ -180,12 +185,15 @@ class PrefixCounter:
 
     def word(self, word: str) -> bytes:
         """Steps of a blank and what follows it up to the next blank: no piece crosses a blank's start."""
-        pieces = self.split(" " + word)
-        if len(pieces) == 1:  # remembered once, as a word
+        if found := self.words.get(word):
+            return found
+        if found := self.older[1].get(word):
+            pass
+        elif len(pieces := self.split(" " + word)) == 1:  # remembered once, as a word
             found = self.pieces.get(pieces[0]) or self._steps(pieces[0])
         else:
             found = b"".join(map(self.steps, pieces))
-        self._keep(self.words, word, found)
+        self._keep(word, found, word=True)
         return found
 
     def _plain(self, text: str) -> np.ndarray:
