@@ -11,7 +11,8 @@ bytes a character). Its running sums are the exact counts of all prefixes; ``pre
 without encoding again.
 
 A worker remembers what it found for words and pieces of at most ``LONGEST`` characters, in about
-``MEMORY`` bytes; then it forgets what it met longest ago. Results do not depend on it.
+``MEMORY`` bytes; then it forgets what it met longest ago. It also remembers for ``PAIRS`` pairs of
+tokens whether the second stays after the first. Results do not depend on either.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import json
 import sys
 from array import array
 from collections.abc import Iterator
+from operator import sub
 
 import numpy as np
 import pandas as pd
@@ -39,6 +41,7 @@ SPLIT = (
 SPACES = regex.compile(r"\p{White_Space}{2,}")
 MEMORY = 256 << 20  # bytes of words and pieces that a worker remembers; more are worked out anew
 LONGEST = 256  # characters of a word or piece that is remembered; longer ones are rarely met again
+PAIRS = 1 << 19  # pairs of tokens that a worker remembers, about 60 MB
 ENTRY = 128  # bytes that an entry takes beside its key and value
 
 
@@ -62,8 +65,10 @@ class PrefixCounter:
         raw = {w: bytes(letters[c] for c in w) for w in model["vocab"] if all(c in letters for c in w)}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.ranks = {(raw[a], raw[b]): i for i, (a, b) in enumerate(pairs)}
-        self.tokens = set(raw.values())
-        self.longest = max(map(len, self.tokens))
+        self.by_number = [None, *dict.fromkeys(raw.values())]
+        self.numbers = {token: i for i, token in enumerate(self.by_number) if i}
+        self.longest = max(map(len, self.numbers))
+        self.fits: dict[int, bool] = {}  # pair of tokens -> whether the second stays as it is
         special = sorted((t["content"] for t in whole.get("added_tokens", ())), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.split = regex.compile(SPLIT).findall
@@ -119,20 +124,30 @@ class PrefixCounter:
     def counts(self, piece: str) -> list[int]:
         """Token count of each prefix of a piece, by characters; the empty prefix first."""
         data = piece.encode()
-        last: list[bytes | None] = [None] * (len(data) + 1)
+        number, fits, known = self.numbers.get, self.fits, len(self.numbers) + 1
+        last = [0] * (len(data) + 1)  # number of the last token times ``known``; 0 at the start
         count = [0] * (len(data) + 1)
         for end in range(1, len(data) + 1):
             for start in range(end - 1, max(-1, end - self.longest - 1), -1):  # one of them fits
-                token = data[start:end]
-                if token in self.tokens and self.stays(last[start], token):
-                    last[end], count[end] = token, count[start] + 1
+                token = number(data[start:end])
+                if token is None:
+                    continue
+                pair = last[start] + token
+                if (fit := fits.get(pair)) is None:
+                    before = self.by_number[last[start] // known]
+                    fit = self.stays(before, data[start:end])
+                    if len(fits) >= PAIRS:
+                        fits.clear()
+                    fits[pair] = fit
+                if fit:
+                    last[end], count[end] = token * known, count[start] + 1
                     break
             else:
                 raise ValueError(f"no token ends at byte {end} of {piece!r}")
         if len(data) == len(piece):
             return count
-        ends = np.cumsum([len(c.encode()) for c in piece])
-        return [0, *(count[e] for e in ends)]
+        # a character ends where the next byte does not go on with it
+        return [0, *(c for c, byte in zip(count[1:-1], data[1:], strict=True) if byte & 0xC0 != 0x80), count[-1]]
 
     def steps(self, piece: str) -> bytes:
         """Change of the count at each character of a piece, as 16-bit numbers."""
@@ -145,7 +160,7 @@ class PrefixCounter:
         count = self.counts(piece)
         if len(piece) == 3 and piece[0] == "'" and piece[1:].isalpha():
             count[2] = 2  # a cut contraction is an apostrophe and a letter
-        return array("h", (b - a for a, b in zip(count, count[1:], strict=False))).tobytes()
+        return array("h", map(sub, count[1:], count)).tobytes()
 
     def _keep(self, key: str, found: bytes, word: bool) -> None:
         """Remembers what was found for a key, in two generations of half of ``MEMORY`` each.
