@@ -8,6 +8,7 @@ from tidemark.catalog.registry import query
 from tidemark.operators import evaluation as E
 from tidemark.operators import features as X
 from tidemark.operators import models as ML
+from tidemark.operators import preparation as P
 from tidemark.operators import quality as Q
 from tidemark.plans.fixtures import AS_OF
 from tidemark.session import scratch
@@ -422,3 +423,56 @@ def champion_challenger(t):
 @query("cross_validate")
 def cross_validate(t):
     return ML.fold_summary(ML.cross_validate(labelled(t), estimator(20), "quality", ["doc_id"], 5))
+
+
+_FOLD = "CAST('0x' || substr(md5(concat(doc_id, '-42')), 1, 8) AS BIGINT) % 5"
+_ROWS = f"""r AS (SELECT {_FOLD} AS fold, d.n_chars::DOUBLE AS n_chars, l.toxic::DOUBLE AS toxic, lang, source
+    FROM labels l JOIN documents d USING (doc_id)), k AS (SELECT unnest(range(5)) AS out)"""
+
+
+def _codes_sql(c):
+    """Rows of each training set with the code of their text; nulls get the code after the last."""
+    return f"""{c}_codes AS (SELECT out, {c}, count(*) AS n, dense_rank() OVER (PARTITION BY out ORDER BY {c}) - 1 AS code
+    FROM r, k WHERE fold <> out AND {c} IS NOT NULL GROUP BY out, {c})"""
+
+
+def _fold_rows(t):
+    made = estimator()
+    return ML.fold_rows(labelled(t), made, ["doc_id"], 5), made
+
+
+def _full(c):
+    if c in ("n_chars", "toxic"):
+        return f"SELECT out, fill, coalesce({c}, fill) AS x FROM r JOIN (SELECT out, avg({c}) AS fill FROM r, k WHERE fold <> out GROUP BY out) f ON fold <> out"
+    last = f"(SELECT out, max(code) + 1 AS fill FROM {c}_codes GROUP BY out)"
+    return f"SELECT f.out, fill::DOUBLE AS fill, coalesce(code, fill)::DOUBLE AS x FROM r JOIN {last} f ON fold <> f.out LEFT JOIN {c}_codes z ON z.out = f.out AND z.{c} = r.{c}"
+
+
+@query(
+    "fold_statistics",
+    f"WITH {_ROWS}, {_codes_sql('lang')}, {_codes_sql('source')} "
+    + " UNION ALL ".join(
+        f"""SELECT out::INT AS fold, '{c}' AS feature, round(any_value(fill), 6) AS fill, round(avg(x), 6) AS mean,
+        round(stddev_samp(x), 6) AS std FROM ({_full(c)}) GROUP BY out"""
+        for c in ("n_chars", "toxic", "lang", "source")
+    ),
+)
+def fold_statistics(t):
+    """What the training set beside each fold says of each column, all from one scan."""
+    rows, made = _fold_rows(t)
+    return rounded(P.fit(rows, made.numbers, made.categories, 5).statistics(t.spark), "fill", "mean", "std")
+
+
+@query(
+    "fold_dictionary",
+    f"WITH {_ROWS}, "
+    + ", ".join(map(_codes_sql, ("lang", "source")))
+    + " "
+    + " UNION ALL ".join(f"""SELECT '{c}' AS "column", {c} AS value, out::INT AS fold, n, code FROM {c}_codes""" for c in ("lang", "source")),
+)
+def fold_dictionary(t):
+    """Code and rows of each text in the training set beside each fold."""
+    rows, made = _fold_rows(t)
+    each = F.posexplode(F.arrays_zip("counts", "codes")).alias("fold", "z")
+    words = P.dictionary(rows, made.categories, 5).select("column", "value", each)
+    return words.select("column", "value", "fold", F.col("z.counts").alias("n"), F.col("z.codes").alias("code")).filter("n > 0")

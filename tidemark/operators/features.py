@@ -18,7 +18,7 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def _known(c: str) -> Column:
+def known(c: str) -> Column:
     value = F.col(c).cast("double")
     return F.when(~F.isnan(value), value)
 
@@ -32,8 +32,8 @@ def impute(df: DataFrame, numbers: list[str] | None = None, texts: list[str] | N
     texts = text_columns(df) if texts is None else texts
     filled = {}
     if numbers:
-        means = df.agg(F.struct(*[F.avg(_known(c)).alias(c) for c in numbers])).scalar()
-        filled.update({c: F.coalesce(_known(c), means[c]) for c in numbers})
+        means = df.agg(F.struct(*[F.avg(known(c)).alias(c) for c in numbers])).scalar()
+        filled.update({c: F.coalesce(known(c), means[c]) for c in numbers})
     if texts:
         best = (
             value_frequencies(df, texts)
@@ -57,27 +57,30 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
 NULL_PARTS = 4096
 
 
-def apply_codes(df: DataFrame, codes: DataFrame, columns: list[str], null_code: int | None = None) -> DataFrame:
-    """Replace texts by their codes; an unseen text is an error.
+def code_join(df: DataFrame, codes: DataFrame, c: str, code: Column, name: str) -> DataFrame:
+    """``df`` with what ``codes`` says of the text in column ``c``; null where it has nothing.
 
     A small code table is broadcast by AQE after its size is known; a large one
     is joined by sort-merge with skewed values split. Nulls, which match nothing, are spread.
     """
+    table = codes.filter(F.col("column") == c).select(F.col("value").alias("_value"), code.alias(name), F.lit(0).alias("_null"))
+    others = F.xxhash64(*(F.col(f"`{x}`") for x in df.columns if x != c), F.lit(c))
+    spread = F.when(F.col(c).isNull(), 1 + F.pmod(others, F.lit(NULL_PARTS))).otherwise(0)
+    keys = (F.coalesce(F.col(c), F.lit("")) == F.col("_value")) & (spread.cast("int") == F.col("_null"))
+    return df.join(table, keys, "left").drop("_value", "_null")
+
+
+def apply_codes(df: DataFrame, codes: DataFrame, columns: list[str], null_code: int | None = None) -> DataFrame:
+    """Replace texts by their codes; an unseen text is an error."""
     out = df
     for c in columns:
-        table = codes.filter(F.col("column") == c).select(
-            F.col("value").alias("_value"), F.col("code").alias("_code"), F.lit(0).alias("_null")
-        )
         unseen = F.raise_error(F.concat(F.lit(f"unseen label in {c}: "), F.col(c))).cast("bigint")
         code = (
             F.when(F.col(c).isNull(), F.lit(null_code).cast("bigint"))
             .when(F.col("_code").isNull(), unseen)
             .otherwise(F.col("_code"))
         )
-        others = F.xxhash64(*(F.col(f"`{x}`") for x in df.columns if x != c), F.lit(c))
-        spread = F.when(F.col(c).isNull(), 1 + F.pmod(others, F.lit(NULL_PARTS))).otherwise(0)
-        keys = (F.coalesce(F.col(c), F.lit("")) == F.col("_value")) & (spread.cast("int") == F.col("_null"))
-        out = out.join(table, keys, "left").withColumn(c, code).drop("_value", "_code", "_null")
+        out = code_join(out, codes, c, F.col("code"), "_code").withColumn(c, code).drop("_code")
     return out
 
 
