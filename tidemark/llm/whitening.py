@@ -71,6 +71,16 @@ def _exact_sums(df: DataFrame, dims: int, sums_of: Callable[[np.ndarray], list[i
     return (rows[0][1], [v for _, v in rows[1:]]) if rows else (0, [])
 
 
+def _row_deviations(x: np.ndarray, n: int, sums: list[int]) -> list[int]:
+    """Sum over the dimensions of (n x - S)^2 of each row, in whole numbers."""
+    # n x - S = n (x - floor(S/n)) - r, r being what floor(S/n) leaves of S
+    centre, rest = (np.array(v, object) for v in zip(*(divmod(s, n) for s in sums), strict=True))
+    wide = n * (np.abs(x.astype(float) - centre.astype(float)).max(initial=0.0) + 2)
+    exact = np.int64 if wide * wide * len(sums) < 2.0**62 else object
+    far = n * (x.astype(exact) - centre.astype(exact)) - rest.astype(exact)
+    return [int(v) for v in (far * far).sum(axis=1)]
+
+
 def _squares(centre: np.ndarray) -> Callable[[np.ndarray], list[int]]:
     """Sums of (y_i + y_j)^2 for i < j after those of y_i^2, y being x without its whole-number centre."""
 
@@ -143,20 +153,23 @@ def fit(df: DataFrame, most: int = 8) -> Whitening | None:
     return Whitening(n, sums, rows, most)
 
 
-OUTPUT = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double, deviation_digits string"
+OUTPUT = "vec_id long, component int, n long, deviation long, whitened double, explained double, row_deviation long, row_deviation_digits string, identity_error double, deviation_digits string"
 
 
 def whitened(df: DataFrame, components: int = 8) -> DataFrame:
-    """(vec_id, component, n, deviation, whitened, explained, identity_error, deviation_digits), a row per vector and component.
+    """(vec_id, component, n, deviation, whitened, explained, row_deviation, row_deviation_digits, identity_error, deviation_digits).
+
+    One row per vector and component.
 
     ``df`` has vec_id and embedding (array of numbers); other columns are not read. Vectors that are null or
     hold null or non-finite entries are left out of the fit and of the result, and so are those whose length is
     not the table's most frequent one (the longest of equally frequent ones). An x that would not fit a long
     stands at the largest, or least, that does. Repeated rows and null ids are rows like any other. A component
     without spread (fewer vectors than dimensions, equal vectors) has whitened null and is not in
-    identity_error; explained is null if no dimension has spread. deviation grows with the cube of the rows and is null
-    where it does not fit a long; deviation_digits has it in decimal digits at any size. A table without a good vector
-    gives no rows.
+    identity_error; explained is null if no dimension has spread. row_deviation is the sum over the dimensions of
+    (n x - S)^2 of the vector, deviation that of all vectors together, which grows with the cube of the rows; either is
+    null where it does not fit a long, and has its decimal digits at any size in the column with _digits. A table
+    without a good vector gives no rows.
     """
     spark = df.sparkSession
     df = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -180,8 +193,10 @@ def whitened(df: DataFrame, components: int = 8) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, values = matrix(batch.column(1), dims)
-            w = model.project(_whole(values)).ravel()
+            x = _whole(values)
+            w = model.project(x).ravel()
             size = len(w)
+            own = [v for v in _row_deviations(x, model.n, model.sums) for _ in range(k)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "vec_id": batch.column(0).take(pa.array(np.repeat(at, k))),
@@ -190,6 +205,8 @@ def whitened(df: DataFrame, components: int = 8) -> DataFrame:
                     "deviation": pa.array([deviation] * size, pa.int64()),
                     "whitened": pa.array(w, mask=np.isnan(w)),
                     "explained": pa.array(explained * len(at), pa.float64()),
+                    "row_deviation": pa.array([v if v < 1 << 63 else None for v in own], pa.int64()),
+                    "row_deviation_digits": pa.array([str(v) for v in own], pa.string()),
                 }
             )
 
