@@ -13,7 +13,7 @@ from tidemark.catalog.zones import CLEAN, DOCUMENT, GOALS
 from tidemark.plans import flows as W
 from tidemark.plans.fixtures import AS_OF
 from tidemark.session import scratch
-from tidemark.sinks.messages import write_table
+from tidemark.sinks.messages import PACKED, write_table
 from tidemark.sources import csv_files as C
 from tidemark.sources.json_docs import scan_envelopes
 
@@ -123,7 +123,7 @@ def plan_run(t):
     """Nested plan documents landed as JSON, one per line, then flattened and stored."""
     folder = scratch(t.spark, "plan_run_in")
     docs = plans(t).select(F.to_json(F.struct(F.array(F.struct("*")).alias("data"))).alias("value"))
-    docs.write.text(folder)
+    docs.write.options(**PACKED).text(folder)
     out = scratch(t.spark, "plan_run")
     return W.run_plans(t.spark, folder, out, F.lit(AS_OF), per_line=True)
 

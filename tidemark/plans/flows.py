@@ -121,10 +121,10 @@ def run_plans(
     """
     plans = scan_envelopes(spark, path, PLAN_ITEM, per_line, bare_object=True)
     flat = _store(N.flatten_plans_outer(plans, as_of), f"{out}/flattened_tasks.parquet")
-    M.write_table(flat, f"{out}/flattened_tasks.csv")
-    M.write_table(flat, f"{out}/flattened_tasks.json")
+    M.write_table(flat, f"{out}/flattened_tasks.csv", **M.PACKED)
+    M.write_table(flat, f"{out}/flattened_tasks.json", **M.PACKED)
     sent = M.to_messages(flat, "weekly_plan_id", kafka_sent_timestamp=as_of, dag_run_id=F.lit(run_id))
-    sent.write.mode("overwrite").json(f"{out}/topics/plan_tasks")
+    M.write_table(sent, f"{out}/topics/plan_tasks", "json", **M.PACKED)
     return flat
 
 
