@@ -131,7 +131,7 @@ def plan_run(t):
 def _plan_lines(t, name, doc):
     """Plan documents as JSON, one per line."""
     folder = scratch(t.spark, name)
-    plans(t).select(F.to_json(doc).alias("value")).write.text(folder)
+    plans(t).select(F.to_json(doc).alias("value")).write.options(**PACKED).text(folder)
     return folder
 
 
