@@ -132,6 +132,6 @@ def run_plan_search(spark: SparkSession, path: str, out: str, per_line: bool = F
     """Landed plan documents with their list under any known root key to the flat table of daily tasks."""
     docs = spark.read.text(path, wholetext=not per_line)
     flat = _store(N.flatten_plans_inner(search_roots(docs, "value", record)), f"{out}/flattened_plan.parquet")
-    M.write_table(flat, f"{out}/flattened_plan.csv")
+    M.write_table(flat, f"{out}/flattened_plan.csv", **M.PACKED)
     publish_table(flat, f"{out}/topics/weekly_plans", "weekly_plan_id")
     return flat
