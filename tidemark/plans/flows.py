@@ -58,7 +58,7 @@ def run_zones(spark: SparkSession, path: str, out: str, as_of: Column, multi_lin
 
 def publish_table(df: DataFrame, target: str, key: str | None = None) -> None:
     """JSON messages of a table in a folder; pass a Kafka target to ``messages.publish`` instead."""
-    M.to_messages(df, key).write.mode("overwrite").json(target)
+    M.write_table(M.to_messages(df, key), target, "json", **M.PACKED)
 
 
 def run_stock(
