@@ -11,7 +11,7 @@ from tidemark.operators import goals as G
 from tidemark.operators import nested as N
 from tidemark.operators import rules as R
 from tidemark.operators import stock as S
-from tidemark.session import saved
+from tidemark.session import saved, scratch
 from tidemark.sinks import messages as M
 from tidemark.sinks import zones as Z
 from tidemark.sources import csv_files as C
@@ -19,7 +19,8 @@ from tidemark.sources.json_docs import scan_envelopes, search_roots
 
 
 def _store(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
+    # the zones hold the text of a row several times over; zstd packs it tighter than the default
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -43,7 +44,7 @@ def run_zones(spark: SparkSession, path: str, out: str, as_of: Column, multi_lin
     ).select("_file_id", "_row_num", "_p.*")
     named = expanded.join(ids, "_file_id")
     # two zones are made of it
-    validated = saved(R.validate_goals(R.rename_aliases(named)), "validated")
+    validated = _store(R.validate_goals(R.rename_aliases(named)), scratch(spark, "validated"))
     processed = _store(Z.processed_records(validated, as_of), f"{out}/processed/records_clean")
 
     chunks = D.curated_chunks(D.goal_documents(validated, as_of))
