@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.json_records import split_items
@@ -60,18 +60,6 @@ def scan_endpoints(spark: SparkSession, paths: dict[str, str], item: str) -> Dat
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _records(value: Column, doc: Column) -> Column:
-    """Records of a document (its text and its variant) as ``array<variant>``."""
-    whole = F.try_variant_get(doc, "$", "array<variant>")
-    under = F.coalesce(*[F.try_variant_get(doc, f"$.{k}", "array<variant>") for k in ROOT_KEYS])
-    is_object = F.ltrim(value).startswith("{") & doc.isNotNull()
-    return (
-        F.when(whole.isNotNull(), whole)
-        .when(F.size(under) > 0, under)
-        .when(is_object, F.array(doc))
-    )
-
-
 def search_roots(docs: DataFrame, value: str, record: str) -> DataFrame:
     """Rows of the records of each JSON document, in the given record schema.
 
@@ -79,7 +67,15 @@ def search_roots(docs: DataFrame, value: str, record: str) -> DataFrame:
     taken; where there is none, or it is empty, the object itself is the record.
     Any other text gives no rows.
     """
-    parsed = docs.select(F.col(value).alias("_text"), F.try_parse_json(value).alias("_doc"))
-    records = parsed.select(F.explode_outer(_records(F.col("_text"), F.col("_doc"))).alias("r"))
-    typed = records.select(F.try_variant_get("r", "$", f"struct<{record}>").alias("r"))
-    return typed.filter(F.col("r").isNotNull()).select("r.*")
+    kind = f"struct<{record}>"
+    parsed = docs.select(F.ltrim(value).startswith("{").alias("_braced"), F.try_parse_json(value).alias("_doc"))
+    # a list is read in the record schema at once: a list of variants would copy each record first
+    lists = [F.try_variant_get("_doc", p, f"array<{kind}>") for p in ["$", *(f"$.{k}" for k in ROOT_KEYS)]]
+    # a column of its own, so that its size and its records come from one evaluation
+    listed = parsed.select("_braced", "_doc", F.coalesce(*lists).alias("_list"))
+    records = F.when(F.size("_list") > 0, F.col("_list")).when(
+        F.col("_braced"), F.array(F.try_variant_get("_doc", "$", kind))
+    )
+    # the inner explode, and a filter on a column that is not exploded, would read the records once more
+    rows = listed.select(F.explode_outer(records).alias("r"))
+    return rows.filter(F.col("r").isNotNull()).select("r.*")
