@@ -13,7 +13,7 @@ from tidemark.catalog.zones import CLEAN, DOCUMENT, GOALS
 from tidemark.plans import flows as W
 from tidemark.plans.fixtures import AS_OF
 from tidemark.session import scratch
-from tidemark.sinks.messages import PACKED, write_table
+from tidemark.sinks.messages import PACKED, QUICK, write_table
 from tidemark.sources import csv_files as C
 from tidemark.sources.json_docs import scan_envelopes
 
@@ -128,10 +128,10 @@ def plan_run(t):
     return W.run_plans(t.spark, folder, out, F.lit(AS_OF), per_line=True)
 
 
-def _plan_lines(t, name, doc):
+def _plan_lines(t, name, doc, packed=PACKED):
     """Plan documents as JSON, one per line."""
     folder = scratch(t.spark, name)
-    plans(t).select(F.to_json(doc).alias("value")).write.options(**PACKED).text(folder)
+    plans(t).select(F.to_json(doc).alias("value")).write.options(**packed).text(folder)
     return folder
 
 
@@ -149,7 +149,7 @@ def plan_run_bare(t):
 )
 def plan_run_search(t):
     """Documents with their plans under another root key."""
-    folder = _plan_lines(t, "plan_run_search_in", F.struct(F.array(F.struct("*")).alias("weeklyPlans")))
+    folder = _plan_lines(t, "plan_run_search_in", F.struct(F.array(F.struct("*")).alias("weeklyPlans")), QUICK)
     return W.run_plan_search(t.spark, folder, scratch(t.spark, "plan_run_search"), per_line=True)
 
 

@@ -29,6 +29,6 @@ def minute_number(c: Column) -> Column:
 
 def iso_text(c: Column) -> Column:
     """ISO text with microseconds only where there are any."""
-    seconds = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(c, "SSSSSS")
-    return F.when(micros == "000000", seconds).otherwise(F.concat(seconds, F.lit("."), micros))
+    # one formatting of the time, also where an expression is evaluated for each use
+    text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.replace(text, F.lit(".000000"), F.lit(""))

@@ -57,9 +57,9 @@ def run_zones(spark: SparkSession, path: str, out: str, as_of: Column, multi_lin
     return Z.run_totals(stats)
 
 
-def publish_table(df: DataFrame, target: str, key: str | None = None) -> None:
+def publish_table(df: DataFrame, target: str, key: str | None = None, packed: dict[str, str] = M.PACKED) -> None:
     """JSON messages of a table in a folder; pass a Kafka target to ``messages.publish`` instead."""
-    M.write_table(M.to_messages(df, key), target, "json", **M.PACKED)
+    M.write_table(M.to_messages(df, key), target, "json", **packed)
 
 
 def run_stock(
@@ -133,6 +133,6 @@ def run_plan_search(spark: SparkSession, path: str, out: str, per_line: bool = F
     """Landed plan documents with their list under any known root key to the flat table of daily tasks."""
     docs = spark.read.text(path, wholetext=not per_line)
     flat = _store(N.flatten_plans_inner(search_roots(docs, "value", record)), f"{out}/flattened_plan.parquet")
-    M.write_table(flat, f"{out}/flattened_plan.csv", **M.PACKED)
-    publish_table(flat, f"{out}/topics/weekly_plans", "weekly_plan_id")
+    M.write_table(flat, f"{out}/flattened_plan.csv", **M.QUICK)
+    publish_table(flat, f"{out}/topics/weekly_plans", "weekly_plan_id", M.QUICK)
     return flat

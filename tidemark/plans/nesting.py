@@ -19,25 +19,30 @@ def nested_plans(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) ->
     One document per customer, order and ship month; one without lines for an order that has none, and
     one without tasks for a customer that has no order.
     """
-    daily = (
-        lineitem.withColumn("_month", F.trunc("l_shipdate", "month"))
-        .groupBy("l_orderkey", "_month")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-                    F.concat(F.lit("part "), F.col("l_partkey")).alias("task"),
-                    F.col("l_quantity").alias("weight"),
-                    F.col("l_returnflag").alias("priority"),
-                    F.col("l_linestatus").alias("status"),
-                    iso_text(F.col("l_shipdate")).alias("createdAt"),
-                    iso_text(F.col("l_shipdate")).alias("updatedAt"),
-                )
-            ).alias("planTask")
-        )
+    shipped = iso_text(F.col("l_shipdate"))
+    # a column of its own: inside the list it would be evaluated without generated code
+    lines = lineitem.select(
+        "l_orderkey",
+        F.trunc("l_shipdate", "month").alias("_month"),
+        F.struct(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+            F.concat(F.lit("part "), F.col("l_partkey")).alias("task"),
+            F.col("l_quantity").alias("weight"),
+            F.col("l_returnflag").alias("priority"),
+            F.col("l_linestatus").alias("status"),
+            shipped.alias("createdAt"),
+            shipped.alias("updatedAt"),
+        ).alias("_line"),
+    )
+    pages = lines.groupBy("l_orderkey", "_month").agg(F.collect_list("_line").alias("planTask"))
+    # orders meet their customers first, so that the many pages are dealt out for one join only
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        "c_custkey", "c_name", "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"
     )
-    tasks = _with_parent(daily, lineitem, "l_orderkey", orders, "o_orderkey", "planTask").select(
-        "o_custkey",
+    held = pages.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select(*placed.columns, "planTask")
+    tasks = held.unionByName(_without(placed, "o_orderkey", lineitem, "l_orderkey", held, "planTask")).select(
+        "c_custkey",
+        "c_name",
         F.array(
             F.struct(
                 F.col("o_orderkey").alias("id"),
@@ -49,7 +54,8 @@ def nested_plans(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) ->
             )
         ).alias("tasks"),
     )
-    return _with_parent(tasks, orders, "o_custkey", customer, "c_custkey", "tasks").select(
+    owners = customer.select("c_custkey", "c_name")
+    return tasks.unionByName(_without(owners, "c_custkey", orders, "o_custkey", tasks, "tasks")).select(
         F.col("c_custkey").alias("id"),
         F.col("c_name").alias("description"),
         F.lit("2001-01-01T00:00:00").alias("createdAt"),
@@ -58,19 +64,17 @@ def nested_plans(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) ->
     )
 
 
-def _with_parent(
-    pages: DataFrame, children: DataFrame, child_key: str, parents: DataFrame, key: str, items: str
+def _without(
+    parents: DataFrame, key: str, children: DataFrame, child_key: str, held: DataFrame, items: str
 ) -> DataFrame:
-    """Each page with its parent row, and each parent without pages with an empty list.
+    """Each parent without children, with an empty list of the type that ``held`` has.
 
-    The many pages of a large parent are the left side of an inner join, which
+    Those with children are an inner join whose left side is the many pages of a large parent, which
     AQE can split; an outer join from the parent would keep them in one task.
     """
-    held = pages.join(parents, F.col(child_key) == F.col(key))
-    bare = parents.join(
-        children.select(F.col(child_key).alias("_child")).distinct(), F.col(key) == F.col("_child"), "left_anti"
-    ).withColumn(items, F.array().cast(pages.schema[items].dataType))
-    return held.unionByName(bare, allowMissingColumns=True)
+    keys = children.select(F.col(child_key).alias("_child")).distinct()
+    bare = parents.join(keys, F.col(key) == F.col("_child"), "left_anti")
+    return bare.withColumn(items, F.array().cast(held.schema[items].dataType))
 
 
 def nested_items(items: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
